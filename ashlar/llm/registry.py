@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import quality, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op8_quality_rules": quality.op8_quality_rules,
+        "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     }
 
 
