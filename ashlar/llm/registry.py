@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, simhash
+from . import huffman, packing, quality, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_packing": packing.op2_packing,
+        "op5_token_ids": huffman.op5_token_ids,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     }
