@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import huffman, packing, quality, simhash
+from . import huffman, packing, quality, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_packing": packing.op2_packing,
+        "op4_warc": warc.op4_warc,
         "op5_token_ids": huffman.op5_token_ids,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
@@ -19,4 +20,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_warc": warc.ORACLE,
+    }
