@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import huffman, packing, quality, simhash, warc
+from . import huffman, lz, packing, quality, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_ids": huffman.op5_token_ids,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
+        "op10_lz_fingerprint": lz.op10_lz_fingerprint,
     }
 
 
