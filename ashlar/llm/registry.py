@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import huffman, lz, packing, quality, simhash, warc
+from . import huffman, lz, packing, quality, simhash, suffix, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_array_dedup": suffix.op1_suffix_array_dedup,
         "op2_packing": packing.op2_packing,
         "op4_warc": warc.op4_warc,
         "op5_token_ids": huffman.op5_token_ids,
