@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import huffman, lz, packing, quality, simhash, suffix, warc
+from . import huffman, lz, packing, quality, simhash, suffix, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": packing.op2_packing,
         "op4_warc": warc.op4_warc,
         "op5_token_ids": huffman.op5_token_ids,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
         "op10_lz_fingerprint": lz.op10_lz_fingerprint,
