@@ -33,6 +33,8 @@ TRAIN_ROWS = 12_000
 FEATURES = 3_000
 LONGEST = 32
 THRESHOLD = 0.3
+#: Of the language model against the channel.
+WEIGHT = 0.7
 #: Letters that a sign is written for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 _PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~…“”„«»‘’"
@@ -89,26 +91,26 @@ def restore(span: str, model: list) -> str:
         if "a" <= ch <= "z":
             options = [(ch, 0.0)]
             if ch == before:
-                drop = -0.8 if long else -4.0
+                drop = -0.8 if long else -6.0
         elif ch == "*":
             options = [(chr(97 + i), -3.5) for i in range(26)]
             drop = -3.0
         else:
             options = [(x, -0.7) for x in LEET.get(ch, "")]
-            drop = -6.0 if ch.isalnum() or options else -0.7
+            drop = -8.0 if ch.isalnum() or options else -0.7
             if ch == before and options:
                 drop = -0.8
         for (a, b), (score, word) in best.items():
             for x, cost in options:
                 i = ord(x) - 96
-                s = score + cost + model[a][b][i]
+                s = score + cost + WEIGHT * model[a][b][i]
                 if (b, i) not in into or into[b, i][0] < s:
                     into[b, i] = (s, word + x)
             if drop is not None and ((a, b) not in into or into[a, b][0] < score + drop):
                 into[a, b] = (score + drop, word)
         best = into or best
         before = ch
-    return max((s + model[a][b][0], w) for (a, b), (s, w) in best.items())[1]
+    return max((s + WEIGHT * model[a][b][0], w) for (a, b), (s, w) in best.items())[1]
 
 
 def words_of(token: str, model: list) -> tuple[str, ...]:
