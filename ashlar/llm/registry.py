@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import huffman, lz, packing, quality, simhash, suffix, toxicity, warc
+from . import huffman, lz, packing, pii, quality, simhash, suffix, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_array_dedup": suffix.op1_suffix_array_dedup,
         "op2_packing": packing.op2_packing,
+        "op3_pii_surrogates": pii.op3_pii_surrogates,
         "op4_warc": warc.op4_warc,
         "op5_token_ids": huffman.op5_token_ids,
         "op6_toxicity": toxicity.op6_toxicity,
