@@ -206,10 +206,14 @@ def _range_rows(doc: np.ndarray, row: np.ndarray, home: np.ndarray, start: np.nd
 
 
 def _grouped(work):
-    """work(bucket, blobs) for each bucket of rows sorted by kind and bucket; other rows pass."""
+    """work(blobs) for each bucket of rows sorted by kind and bucket; other rows pass.
+
+    What the buckets of a task find is gathered before it is dealt to homes, so there are rows for each task and home
+    rather than for each bucket and home.
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, blobs = None, []
+        at, blobs, found, held = None, [], [], 0
         for b in it:
             passed = []
             for to, kind, blob in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
@@ -217,19 +221,37 @@ def _grouped(work):
                     passed.append((to, kind, blob))
                     continue
                 if to != at and blobs:
-                    yield from work(blobs)
+                    found.append(work(blobs))
+                    held += sum(len(x[0]) for x in found[-1])
                     blobs = []
+                    if held > GATHER:
+                        yield _dealt(found)
+                        found, held = [], 0
                 at = to
                 blobs.append(blob)
             if passed:
                 yield _rows(passed)
         if blobs:
-            yield from work(blobs)
+            found.append(work(blobs))
+        if found:
+            yield _dealt(found)
 
     return run
 
 
-def _match(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+def _dealt(found: list[tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]]) -> pa.RecordBatch:
+    """Rows of gathered (doc, row, home, start, end) and (home, trigger, doc, row, at, n)."""
+    ranges, wanted = ([np.concatenate(c) for c in zip(*x, strict=True)] for x in zip(*found, strict=True))
+    made = _range_rows(*ranges) if len(ranges[0]) else []
+    if len(wanted[0]):
+        home, trigger, doc, row, at, n = wanted
+        places, where = np.unique(home, return_inverse=True)
+        for k, i in _by(where, len(places)):
+            made.append((int(places[k]), _WANTED, pack((_U8, trigger[i]), (_DOC, doc[i]), (_ROW, row[i]), (_AT, at[i]), (_AT, n[i]))))
+    return _rows(made)
+
+
+def _match(blobs: list[bytes]) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
     """Of one bucket: ranges of phrases seen before, and the phrases whose bytes are wanted."""
     trigger, phrase, doc, row, home, at, n = (np.concatenate(x) for x in zip(*(unpack(b, _U8, _U6, _DOC, _ROW, _AT, _AT, _AT) for b in blobs), strict=True))
     o = np.argsort(trigger)
@@ -239,25 +261,18 @@ def _match(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
     shared[1:] |= same
     shared[:-1] |= same
     o = o[shared]
-    if not len(o):
-        return
     o = o[np.lexsort((doc[o], phrase[o], trigger[o]))]
-    trigger, phrase, doc, row, home, at, n = (x[o] for x in (trigger, phrase, doc, row, home, at, n))
-    new_t = np.concatenate([[True], trigger[1:] != trigger[:-1]])
-    new_p = new_t | np.concatenate([[True], phrase[1:] != phrase[:-1]])
-    of_p = np.cumsum(new_p) - 1
-    first = doc[new_p]  # of each phrase
-    later = doc > first[of_p]
-    made = _range_rows(doc[later], row[later], home[later], at[later], at[later].astype(np.int64) + n[later] + WIDTH - 1) if later.any() else []
-    starts = np.flatnonzero(new_t[new_p])  # phrases of a trigger
-    many = np.minimum.reduceat(first, starts) < np.maximum.reduceat(first, starts)
-    want = many[np.cumsum(new_t) - 1] & ~later
-    if want.any():
-        for k, i in _by(home[want].astype(np.int64), int(home.max()) + 1):
-            w = np.flatnonzero(want)[i]
-            made.append((k, _WANTED, pack((_U8, trigger[w]), (_DOC, doc[w]), (_ROW, row[w]), (_AT, at[w]), (_AT, n[w]))))
-    if made:
-        yield _rows(made)
+    trigger, phrase, doc, row, home, at, n = (x[o] for x in (trigger, phrase, doc, row, home, at.astype(np.int64), n))
+    later, want = np.zeros(len(o), bool), np.zeros(len(o), bool)
+    if len(o):
+        new_t = np.concatenate([[True], trigger[1:] != trigger[:-1]])
+        new_p = new_t | np.concatenate([[True], phrase[1:] != phrase[:-1]])
+        first = doc[new_p]  # of each phrase
+        later = doc > first[np.cumsum(new_p) - 1]
+        starts = np.flatnonzero(new_t[new_p])  # phrases of a trigger
+        many = np.minimum.reduceat(first, starts) < np.maximum.reduceat(first, starts)
+        want = many[np.cumsum(new_t) - 1] & ~later
+    return (doc[later], row[later], home[later], at[later], at[later] + n[later] + WIDTH - 1), (home[want], trigger[want], doc[want], row[want], at[want], n[want])
 
 
 class _Texts:
@@ -327,7 +342,7 @@ def _dense(key: np.ndarray) -> np.ndarray:
     return out
 
 
-def _windows(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+def _windows(blobs: list[bytes]) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
     """Of one bucket's dictionary: the ranges of windows that an earlier document's phrase has too."""
     cols, raw = [], []
     for b in blobs:
@@ -344,10 +359,11 @@ def _windows(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
     first = np.full(int(rank.max()) + 1, np.iinfo(np.int64).max)
     np.minimum.at(first, rank, doc[whose])
     hit = doc[whose] > first[rank]
-    if hit.any():
-        i = whose[hit]
-        s = at[i].astype(np.int64) + p[hit] - off[i]
-        yield _rows(_range_rows(doc[i], row[i], home[i], s, s + WIDTH))
+    i = whose[hit]
+    s = at[i].astype(np.int64) + p[hit] - off[i]
+    r, s, e = _merged(i, s, s + WIDTH)
+    none = np.zeros(0, np.int64)
+    return (doc[r], row[r], home[r], s, e), (none,) * 6
 
 
 def _finish(docs: pa.Table, dealt: pa.Table) -> pa.Table:
@@ -383,7 +399,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (start, end, start, end, …)."""
     spark = docs.sparkSession
     n = partitions(spark)
-    buckets, homes = 4 * n, 8 * n
+    buckets, homes = 4 * n, 2 * n
     # no alias that does nothing: the two uses of the dealt texts must look alike for Spark to shuffle them once
     doc_id = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
     text, key = F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit("")))
