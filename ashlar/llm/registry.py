@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import huffman, lz, packing, pii, quality, simhash, suffix, toxicity, warc
+from . import huffman, lz, mixing, packing, pii, quality, simhash, suffix, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_warc": warc.op4_warc,
         "op5_token_ids": huffman.op5_token_ids,
         "op6_toxicity": toxicity.op6_toxicity,
+        "op7_mixing": mixing.op7_mixing,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
         "op10_lz_fingerprint": lz.op10_lz_fingerprint,
