@@ -47,19 +47,21 @@ FAMILY["latin", "m"] = FAMILY["latin", "f"]
 
 _NAMES = "|".join(sorted({x for v in GIVEN.values() for x in v}, key=lambda x: (-len(x), x)))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-#: In order: where two begin at one place, the first one named is taken.
+_LABEL = r"(?i:token|secret|password|passwd|pwd|api[_-]?key)[ ]{0,2}[=:][ ]{0,2}[\"']?"
+#: In order: where two begin at one place, the first one named is taken.  A match of ``secret`` has its label with it.
 PATTERNS = {
-    "email": r"(?<![\w.%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)",
-    "phone": r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d){6,12}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
-    "card": r"(?<![\w.-])[3-6]\d{3}(?:[ -]?\d){9,15}(?!\w)",
-    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "key": r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)|(?<!\w)gh[pousr]_[A-Za-z0-9]{36,}(?!\w)|(?<!\w)sk-[A-Za-z0-9]{20,}(?!\w)",
-    "secret": r"(?i:(?<=(?<!\w)(?:token|secret|password|passwd|pwd|api_key|apikey|api-key)[ ]{0,2}[=:][ ]{0,2}[\"']{0,1}))[A-Za-z0-9_+/.=-]{7,}[A-Za-z0-9_+/=-]",
-    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    "name": rf"(?<!\p{{L}})(?:{_NAMES}) \p{{Lu}}[\p{{L}}'-]{{1,30}}(?!\p{{L}})",
+    "email": r"[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
+    "ip": rf"(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)",
+    "phone": r"\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d){6,12}(?!\d)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
+    "card": r"[3-6]\d{3}(?:[ -]?\d){9,15}(?!\w)",
+    "ssn": r"\d{3}-\d{2}-\d{4}(?![\w-])",
+    "key": r"(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)|gh[pousr]_[A-Za-z0-9]{36,}(?!\w)|sk-[A-Za-z0-9]{20,}(?!\w)",
+    "secret": _LABEL + r"[A-Za-z0-9_+/.=-]{7,}[A-Za-z0-9_+/=-]",
+    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
+    "name": rf"(?:{_NAMES}) \p{{Lu}}[\p{{L}}'-]{{1,30}}(?!\p{{L}})",
 }
-PATTERN = "|".join(f"(?:{x})" for x in PATTERNS.values())
+# one look behind and one ahead settle nearly every place of a text: an entity begins a word, with one of few signs
+PATTERN = r"(?<![\w.%+\p{L}-])(?=[A-Z0-9+(@_%\p{Lu}-]|[A-Za-z0-9._%+-]{1,64}@|" + r"(?i:token|secret|pass|pwd|api)|gh|sk-)(?:" + "|".join(PATTERNS.values()) + ")"
 
 
 def kind_of(e: Column) -> Column:
@@ -70,10 +72,15 @@ def kind_of(e: Column) -> Column:
     return out.otherwise("secret")
 
 
+def _value(e: Column) -> Column:
+    """A secret without its label."""
+    return F.regexp_replace(e, "^" + _LABEL, "")
+
+
 def canonical(kind: Column, e: Column) -> Column:
     """What all spellings of one entity share."""
     digits = F.regexp_replace(e, r"\D", "")
-    return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "email", F.lower(e)).when(kind == "iban", F.regexp_replace(e, " ", "")).otherwise(e)
+    return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "email", F.lower(e)).when(kind == "iban", F.regexp_replace(e, " ", "")).when(kind == "secret", _value(e)).otherwise(e)
 
 
 def _stream(key: str, *parts: Column) -> Column:
@@ -143,10 +150,12 @@ def surrogate(kind: Column, e: Column, attempt: Column, key: str = KEY) -> Colum
     public = F.concat_ws(".", (_number(h, 1) % 100 + 23).cast("string"), F.substring_index(octets, ".", -3))
     ip = F.when(private == "", public).otherwise(F.concat(private, F.when(F.length(F.regexp_replace(private, r"[^.]", "")) == 2, F.substring_index(octets, ".", -2)).otherwise(F.substring_index(octets, ".", -3))))
     country = F.length(F.regexp_extract(e, r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})", 1))
-    hexed = e.rlike("^[0-9a-f]+$")
+    value = _value(e)
+    label = e.substr(F.lit(1), F.length(e) - F.length(value))
+    secret = F.concat(label, F.when(value.rlike("^[0-9a-f]+$"), _format(value, h, h, F.lit(0))).otherwise(_format(value, digits, letters, F.lit(0))))
     return (
         F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", _format(e, digits, letters, country)).when(kind == "card", _card(e, digits, letters)).when(kind == "name", _name(e, h, attempt))
-        .when(kind == "iban", _format(e, digits, letters, F.lit(2))).when(kind == "key", _format(e, digits, letters, F.when(e.rlike("^A"), 4).otherwise(2))).when((kind == "secret") & hexed, _format(e, h, h, F.lit(0))).otherwise(_format(e, digits, letters, F.lit(0)))
+        .when(kind == "iban", _format(e, digits, letters, F.lit(2))).when(kind == "key", _format(e, digits, letters, F.when(e.rlike("^A"), 4).otherwise(2))).when(kind == "secret", secret).otherwise(_format(e, digits, letters, F.lit(0)))
     )
 
 
