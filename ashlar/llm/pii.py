@@ -52,7 +52,7 @@ _LABEL = r"(?i:token|secret|password|passwd|pwd|api[_-]?key)[ ]{0,2}[=:][ ]{0,2}
 PATTERNS = {
     "email": r"[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "ip": rf"(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)",
-    "phone": r"\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d){6,12}(?!\d)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
+    "phone": r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+\d{7,15}(?!\d)|\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]\d{2,4}){2,5}(?!\d)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
     "card": r"[3-6]\d{3}(?:[ -]?\d){9,15}(?!\w)",
     "ssn": r"\d{3}-\d{2}-\d{4}(?![\w-])",
     "key": r"(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)|gh[pousr]_[A-Za-z0-9]{36,}(?!\w)|sk-[A-Za-z0-9]{20,}(?!\w)",
@@ -123,40 +123,48 @@ def _number(stream: Column, at: int) -> Column:
 
 
 def _pick(names: list[str], stream: Column, at: int) -> Column:
-    return F.element_at(F.array(*map(F.lit, names)), _number(stream, at) % len(names) + 1)
+    return F.element_at(F.split(F.lit(",".join(names)), ","), _number(stream, at) % len(names) + 1)
 
 
 def _name(e: Column, h: Column, attempt: Column) -> Column:
-    given = F.split(e, " ")[0]
+    given = F.concat(F.lit(","), F.substring_index(e, " ", 1), F.lit(","))
     out = F.lit(None).cast("string")
     for (script, gender), names in GIVEN.items():
-        # a second family name once single ones run short
-        family = F.concat(_pick(FAMILY[script, gender], h, 5), F.when(attempt > 2, F.concat(F.lit("-"), _pick(FAMILY[script, gender], h, 9))).otherwise(""), F.when(attempt > 8, F.concat(F.lit("-"), _pick(FAMILY[script, gender], h, 13))).otherwise(""))
-        out = F.when(given.isin(names), F.concat_ws(" ", _pick(names, h, 1), family)).otherwise(out)
+        # a second and third family name once single ones run short
+        family = F.slice(F.array(*[_pick(FAMILY[script, gender], h, k) for k in (5, 9, 13)]), F.lit(1), F.when(attempt > 8, 3).when(attempt > 2, 2).otherwise(1))
+        out = F.when(F.lit("," + ",".join(names) + ",").contains(given), F.concat_ws(" ", _pick(names, h, 1), F.array_join(family, "-"))).otherwise(out)
     return out
 
 
-def surrogate(kind: Column, e: Column, attempt: Column, key: str = KEY) -> Column:
-    """The replacement of an entity as written, for an attempt."""
-    canon = canonical(kind, e)
-    h = _stream(key, kind, canon, attempt)
-    digits, letters = F.translate(h, "abcdef", "274951"), F.translate(h, "0123456789abcdef", "bcdfghjklmnpqrst")
-    domain = F.lower(F.substring_index(e, "@", -1))
-    dh = _stream(key, F.lit("domain"), domain)
-    host = F.regexp_replace(F.substring_index(e, "@", -1), r"\.[^.]*$", "")
-    email = F.concat(_format(F.substring_index(e, "@", 1), digits, letters, F.lit(0)), F.lit("@"), _format(host, F.translate(dh, "abcdef", "274951"), F.translate(dh, "0123456789abcdef", "bcdfghjklmnpqrst"), F.lit(0)), F.lit("."), F.substring_index(e, ".", -1))
+def surrogates(found: Column, attempt, key: str = KEY) -> Column:
+    """The replacements of an array of entities as written; attempt(i) is the attempt of the one at i.
+
+    What a later step needs is computed once, in a field of its own, so that the plan stays small.
+    """
+    steps = [
+        lambda e, i: F.struct(e.alias("e"), kind_of(e).alias("kind"), attempt(i).alias("attempt")),
+        lambda x: x.withField("h", _stream(key, x["kind"], canonical(x["kind"], x["e"]), x["attempt"])).withField("host", F.substring_index(x["e"], "@", -1)).withField("value", _value(x["e"])),
+        lambda x: x.withField("dh", _stream(key, F.lit("domain"), F.lower(x["host"]))).withField("digits", F.translate(x["h"], "abcdef", "274951")).withField("letters", F.translate(x["h"], "0123456789abcdef", "bcdfghjklmnpqrst")),
+        _draw,
+    ]
+    out = found
+    for step in steps:
+        out = F.transform(out, step)
+    return out
+
+
+def _draw(x: Column) -> Column:
+    kind, e, h, digits, letters, host, value = (x[c] for c in ("kind", "e", "h", "digits", "letters", "host", "value"))
+    none = F.lit(0)
+    email = F.concat(_format(F.substring_index(e, "@", 1), digits, letters, none), F.lit("@"), _format(F.regexp_replace(host, r"\.[^.]*$", ""), F.translate(x["dh"], "abcdef", "274951"), F.translate(x["dh"], "0123456789abcdef", "bcdfghjklmnpqrst"), none), F.lit("."), F.substring_index(e, ".", -1))
+    octets = F.concat_ws(".", (_number(h, 1) % 100 + 23).cast("string"), *[(_number(h, 5 * i + 1) % 254 + 1).cast("string") for i in (1, 2, 3)])
     private = F.regexp_extract(e, r"^(10\.|127\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.)", 1)
-    octets = F.concat_ws(".", *[(_number(h, 5 * i + 1) % 254 + 1).cast("string") for i in range(4)])
-    public = F.concat_ws(".", (_number(h, 1) % 100 + 23).cast("string"), F.substring_index(octets, ".", -3))
-    ip = F.when(private == "", public).otherwise(F.concat(private, F.when(F.length(F.regexp_replace(private, r"[^.]", "")) == 2, F.substring_index(octets, ".", -2)).otherwise(F.substring_index(octets, ".", -3))))
+    ip = F.concat(private, F.when(private == "", octets).when(private.rlike(r"\..*\."), F.substring_index(octets, ".", -2)).otherwise(F.substring_index(octets, ".", -3)))
     country = F.length(F.regexp_extract(e, r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})", 1))
-    value = _value(e)
-    label = e.substr(F.lit(1), F.length(e) - F.length(value))
-    secret = F.concat(label, F.when(value.rlike("^[0-9a-f]+$"), _format(value, h, h, F.lit(0))).otherwise(_format(value, digits, letters, F.lit(0))))
-    return (
-        F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", _format(e, digits, letters, country)).when(kind == "card", _card(e, digits, letters)).when(kind == "name", _name(e, h, attempt))
-        .when(kind == "iban", _format(e, digits, letters, F.lit(2))).when(kind == "key", _format(e, digits, letters, F.when(e.rlike("^A"), 4).otherwise(2))).when(kind == "secret", secret).otherwise(_format(e, digits, letters, F.lit(0)))
-    )
+    hexed = value.rlike("^[0-9a-f]+$")
+    secret = F.concat(e.substr(F.lit(1), F.length(e) - F.length(value)), _format(value, F.when(hexed, h).otherwise(digits), F.when(hexed, h).otherwise(letters), none))
+    keep = F.when(kind == "phone", country).when(kind == "iban", 2).when((kind == "key") & e.startswith("A"), 4).when(kind == "key", 2).otherwise(0)
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", _card(e, digits, letters)).when(kind == "name", _name(e, h, x["attempt"])).when(kind == "secret", secret).otherwise(_format(e, digits, letters, keep))
 
 
 def entities(docs: DataFrame) -> DataFrame:
@@ -171,7 +179,7 @@ def redrawn(docs: DataFrame, key: str = KEY) -> DataFrame:
     real = stored(entities(docs), "entities")
     pending, taken, out = real.withColumn("attempt", F.lit(0)), real.select("kind", F.col("canon").alias("s")), None
     while True:
-        drawn = pending.withColumn("s", canonical(F.col("kind"), surrogate(F.col("kind"), F.col("e"), F.col("attempt"), key)))
+        drawn = pending.withColumn("s", canonical(F.col("kind"), surrogates(F.array("e"), lambda _: F.col("attempt"), key)[0]))
         # of those that drew the same, the first keeps it, unless it is taken: an aggregate, not a sort of the group
         first = drawn.groupBy("kind", "s").agg(F.min("canon").alias("canon")).join(taken, ["kind", "s"], "left_anti").select("kind", "canon", F.lit(True).alias("ok"))
         drawn = stored(drawn.join(first, ["kind", "canon"], "left"), "surrogates")
@@ -200,7 +208,7 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
         attempt = lambda i: F.coalesce(F.element_at("_pii_again", i), F.lit(0))
     else:
         attempt = lambda i: F.lit(0)
-    new = F.transform("_pii_found", lambda e, i: surrogate(kind_of(e), e, attempt(i), key))
+    new = surrogates(F.col("_pii_found"), attempt, key)
     gaps = F.split("text", PATTERN, -1)
     joined = F.concat_ws("", F.flatten(F.zip_with(gaps, new, lambda g, s: F.array(g, F.coalesce(s, F.lit(""))))))
     kinds = F.transform("_pii_found", lambda e: kind_of(e))

@@ -98,8 +98,8 @@ def restore(span: str, model: list) -> str:
         else:
             options = [(x, -0.7) for x in LEET.get(ch, "")]
             drop = -8.0 if ch.isalnum() or options else -0.7
-            if ch == before and options:
-                drop = -0.8
+            if ch == before and options:  # a sign twice is two letters, drawn out it is one
+                drop = -0.8 if long else -6.0
         for (a, b), (score, word) in best.items():
             for x, cost in options:
                 i = ord(x) - 96

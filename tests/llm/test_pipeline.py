@@ -1,0 +1,27 @@
+"""The pipeline's stages, one after the other."""
+
+import re
+
+import corpus_pipeline
+
+
+def test_stages(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names, seen = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf_dir).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        seen[name] = docs
+        if name != "packing":
+            assert docs.columns == names
+    ids = {k: {r.doc_id for r in v.select("doc_id").collect()} for k, v in seen.items()}
+    assert ids["near_dedup"] < ids["quality_rules"] and ids["near_dedup"] == ids["pii"] == ids["mixing"] == ids["packing"]
+    assert not any(re.search(r"@mail\d+\.example\.com", r.text) for r in seen["pii"].collect())
+    assert seen["mixing"].count() >= seen["pii"].count()
+
+
+def test_registered():
+    import __spark_entry__
+
+    names = set(__spark_entry__.queries())
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
