@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ashlar.errors import FormatError, UnsupportedError
+from ashlar.shipping import ship
 
 MAGIC = b"Obj\x01"
 _PRIMITIVE = {"null": T.NullType(), "boolean": T.BooleanType(), "int": T.IntegerType(), "long": T.LongType(), "float": T.FloatType(), "double": T.DoubleType(), "bytes": T.BinaryType(), "string": T.StringType()}
@@ -221,6 +222,7 @@ def read_avro(spark: SparkSession, *paths: str) -> DataFrame:
     """A DataFrame over Avro files, folders or patterns; any file system that Spark reads."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    ship(spark)
     files = spark.read.format("binaryFile").load(list(paths))
     first = files.select("content").first()
     if first is None:
