@@ -11,12 +11,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ashlar.shipping import ship
+
 #: Rows of one Arrow batch between the JVM and Python; texts are long, so batches stay small.
 ARROW_ROWS = 256
 
 
 def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches, and a checkpoint folder where the cluster names none (tests)."""
+    """The package for the workers, small Arrow batches, and a checkpoint folder where the cluster names none (tests)."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     if not spark.conf.get("spark.checkpoint.dir", "") and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ashlar-"))
