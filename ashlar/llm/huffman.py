@@ -146,11 +146,11 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 0) -> None:
         enc, end, z = encoder(path), np.array([end_id], "<u4").tobytes(), zstandard.ZstdCompressor(1)
         for b in it:
             doc_ids = b.column("doc_id").to_pylist()
-            ids = [enc.ids(t or "") + end for t in b.column("text").to_pylist()]
-            small = [z.compress(np.frombuffer(x, "<u4").astype("<u2").tobytes() if max(np.frombuffer(x, "<u4")) < 65536 else x) for x in ids]
+            ids = [np.frombuffer(enc.ids(t or "") + end, "<u4") for t in b.column("text").to_pylist()]
+            small = [z.compress(x.astype("<u2") if x.max() < 65536 else x) for x in ids]
             yield pa.record_batch({
                 "bucket": pa.array([len(bounds) if d is None else bisect_left(bounds, d) for d in doc_ids], pa.int32()), "doc_id": b.column("doc_id"), "key": b.column("key"),
-                "n": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(small, pa.binary()),
+                "n": pa.array([len(x) for x in ids], pa.int64()), "ids": pa.array(small, pa.binary()),
             })
 
     def number(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
