@@ -409,6 +409,18 @@ def test_similar(spark, docs, odd):
     assert similar.keep_one(odd.limit(0)).count() == 0
 
 
+def test_similar_with_repeated_lines(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(40):
+        words = [f"r{x}" for x in rng.integers(0, 10**6, 400)]
+        line = " ".join(f"l{x}" for x in rng.integers(0, 10**6, 12))
+        text = " ".join(words)
+        rows += [(i, f"{text}\n{line}\n"), (i + 100, f"{text}\n" + f"{line}\n" * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in similar.keep_one(df).collect()) == list(range(40))
+
+
 # ---------------------------------------------------------------- 10
 
 
