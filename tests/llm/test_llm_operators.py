@@ -421,6 +421,25 @@ def test_similar_with_repeated_lines(spark):
     assert sorted(r.doc_id for r in similar.keep_one(df).collect()) == list(range(40))
 
 
+def test_similar_links_do_not_depend_on_the_bucket():
+    rng = np.random.default_rng(9)
+
+    def row(words):
+        packed = np.frombuffer(similar.sketch(" ".join(words).encode(), 5)[1], np.uint8)
+        return np.stack([packed >> 4, packed & 15], 1).ravel()
+
+    def text():
+        return [f"w{x}" for x in rng.integers(0, 10**6, 50)]
+
+    others, lost = [row(text()) for _ in range(100)], 0
+    for _ in range(1500):
+        words = text()
+        pair = [row(words), row(words[4:] + text()[:1])]
+        small = list(similar.spanning(np.array(pair), 0.8))
+        lost += (0, 1) in small and (0, 1) not in list(similar.spanning(np.array(pair + others), 0.8))
+    assert not lost
+
+
 # ---------------------------------------------------------------- 10
 
 
