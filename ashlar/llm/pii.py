@@ -8,8 +8,10 @@ country codes, first digit and Luhn validity of cards, private network prefixes,
 gender and script.
 
 Distinctness is checked over the corpus: the surrogates of all distinct entities are compared with each other and with
-the real entities of their type; whichever meets one is drawn again with the next attempt until none does.  Attempts
-other than the first are few and are joined back to the documents; the rest of the corpus is one pass.
+the real entities of their type; whichever meets one is drawn again with the next attempt until none does.  After attempt
+``ROOMY`` the space grows with each: surrogates get longer, names more family names, addresses leave their private network
+and at last are IPv6, so that every entity gets one however few there are of its format.  Attempts other than the first
+are few and are joined back to the documents; the rest of the corpus is one pass.
 
 Defined results: a null text stays null and has no entities; empty and entity-free texts stay as they are; repeated rows
 are replaced alike; other columns are kept by ``replace``; an empty table gives an empty result.
@@ -27,6 +29,9 @@ KEY = "ashlar"
 #: Rows of redrawn entities up to which they are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 10_000
 
+#: Attempts within the format of the entity; each one after has a larger space.
+ROOMY = 2
+
 #: (script, gender): given names.  A name is replaced from its own list.
 GIVEN = {
     ("latin", "f"): "Anna Maria Laura Julia Sophie Emma Claire Camille Isabelle Carmen Lucía Elena Martina Katharina Sabine Ingrid Jennifer Jessica Elizabeth Margaret Susan Patricia".split(),
@@ -107,9 +112,9 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
 
 
-def _card(e: Column, digits: Column, letters: Column) -> Column:
+def _card(e: Column, zeros: Column, digits: Column, letters: Column) -> Column:
     """As valid by Luhn as e is: the last digit is set right."""
-    drawn = _format(e, digits, letters, F.lit(1))
+    drawn = _format(F.concat(e, zeros), digits, letters, F.lit(1))
     plain = F.regexp_replace(drawn, r"\D", "")
     body = F.concat(plain.substr(F.lit(1), F.length(plain) - 1), F.lit("0"))
     check = F.pmod(F.lit(10) - _luhn(body) % 10, F.lit(10))
@@ -130,8 +135,8 @@ def _name(e: Column, h: Column, attempt: Column) -> Column:
     given = F.concat(F.lit(","), F.substring_index(e, " ", 1), F.lit(","))
     out = F.lit(None).cast("string")
     for (script, gender), names in GIVEN.items():
-        # a second and third family name once single ones run short
-        family = F.slice(F.array(*[_pick(FAMILY[script, gender], h, k) for k in (5, 9, 13)]), F.lit(1), F.when(attempt > 8, 3).when(attempt > 2, 2).otherwise(1))
+        # a second and further family names once single ones run short
+        family = F.slice(F.array(*[_pick(FAMILY[script, gender], h, k) for k in range(5, 64, 4)]), F.lit(1), F.least(F.greatest(attempt - ROOMY, F.lit(0)) + 1, F.lit(15)))
         out = F.when(F.lit("," + ",".join(names) + ",").contains(given), F.concat_ws(" ", _pick(names, h, 1), F.array_join(family, "-"))).otherwise(out)
     return out
 
@@ -143,7 +148,7 @@ def surrogates(found: Column, attempt, key: str = KEY) -> Column:
     """
     steps = [
         lambda e, i: F.struct(e.alias("e"), kind_of(e).alias("kind"), attempt(i).alias("attempt")),
-        lambda x: x.withField("h", _stream(key, x["kind"], canonical(x["kind"], x["e"]), x["attempt"])).withField("host", F.substring_index(x["e"], "@", -1)).withField("value", _value(x["e"])),
+        lambda x: x.withField("h", _stream(key, x["kind"], canonical(x["kind"], x["e"]), x["attempt"])).withField("host", F.substring_index(x["e"], "@", -1)).withField("value", _value(x["e"])).withField("more", F.greatest(x["attempt"] - ROOMY, F.lit(0))),
         lambda x: x.withField("dh", _stream(key, F.lit("domain"), F.lower(x["host"]))).withField("digits", F.translate(x["h"], "abcdef", "274951")).withField("letters", F.translate(x["h"], "0123456789abcdef", "bcdfghjklmnpqrst")),
         _draw,
     ]
@@ -155,16 +160,19 @@ def surrogates(found: Column, attempt, key: str = KEY) -> Column:
 
 def _draw(x: Column) -> Column:
     kind, e, h, digits, letters, host, value = (x[c] for c in ("kind", "e", "h", "digits", "letters", "host", "value"))
-    none = F.lit(0)
-    email = F.concat(_format(F.substring_index(e, "@", 1), digits, letters, none), F.lit("@"), _format(F.regexp_replace(host, r"\.[^.]*$", ""), F.translate(x["dh"], "abcdef", "274951"), F.translate(x["dh"], "0123456789abcdef", "bcdfghjklmnpqrst"), none), F.lit("."), F.substring_index(e, ".", -1))
+    none, more = F.lit(0), x["more"]
+    # what is longer than the entity is drawn like the rest of it
+    long, zeros = F.repeat(F.lit("a"), more), F.repeat(F.lit("0"), more)
+    email = F.concat(_format(F.concat(F.substring_index(e, "@", 1), long), digits, letters, none), F.lit("@"), _format(F.regexp_replace(host, r"\.[^.]*$", ""), F.translate(x["dh"], "abcdef", "274951"), F.translate(x["dh"], "0123456789abcdef", "bcdfghjklmnpqrst"), none), F.lit("."), F.substring_index(e, ".", -1))
     octets = F.concat_ws(".", (_number(h, 1) % 100 + 23).cast("string"), *[(_number(h, 5 * i + 1) % 254 + 1).cast("string") for i in (1, 2, 3)])
     private = F.regexp_extract(e, r"^(10\.|127\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.)", 1)
     ip = F.concat(private, F.when(private == "", octets).when(private.rlike(r"\..*\."), F.substring_index(octets, ".", -2)).otherwise(F.substring_index(octets, ".", -3)))
+    ip = F.when(more == 0, ip).when((more <= 4) & (private != ""), F.concat(F.lit("10."), F.substring_index(octets, ".", -3))).when(more <= 8, octets).otherwise(F.concat(F.lit("2001:db8"), *[F.concat(F.lit(":"), h.substr(k, 4)) for k in range(25, 49, 4)]))
     country = F.length(F.regexp_extract(e, r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})", 1))
     hexed = value.rlike("^[0-9a-f]+$")
-    secret = F.concat(e.substr(F.lit(1), F.length(e) - F.length(value)), _format(value, F.when(hexed, h).otherwise(digits), F.when(hexed, h).otherwise(letters), none))
+    secret = F.concat(e.substr(F.lit(1), F.length(e) - F.length(value)), _format(F.concat(value, long), F.when(hexed, h).otherwise(digits), F.when(hexed, h).otherwise(letters), none))
     keep = F.when(kind == "phone", country).when(kind == "iban", 2).when((kind == "key") & e.startswith("A"), 4).when(kind == "key", 2).otherwise(0)
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", _card(e, digits, letters)).when(kind == "name", _name(e, h, x["attempt"])).when(kind == "secret", secret).otherwise(_format(e, digits, letters, keep))
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", _card(e, zeros, digits, letters)).when(kind == "name", _name(e, h, x["attempt"])).when(kind == "secret", secret).otherwise(_format(F.concat(e, F.when(kind == "key", long).otherwise(zeros)), digits, letters, keep))
 
 
 def entities(docs: DataFrame) -> DataFrame:

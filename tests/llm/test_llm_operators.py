@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import signal
 import zlib
 from collections import Counter
 
@@ -193,6 +194,26 @@ def test_pii_distinct_after_redraws(spark):
     assert pii.replace(df.limit(0)).count() == 0
 
 
+def test_pii_settles_where_a_format_has_few_surrogates(spark):
+    real = [f"{c}@example.com" for c in "abcdefghijklmnopqrstuvwxyz"] + ["token=________", "password=--------"]
+    real += [f"{g} {f}{x}" for g in pii.GIVEN["greek", "f"] for f in pii.FAMILY["greek", "f"] for x in ("", "η")]
+    real += [f"192.168.{i}.{j}" for i in range(256) for j in range(256)]
+    df = spark.createDataFrame([(i // 256, real[i : i + 256]) for i in range(0, len(real), 256)], "doc_id long, e array<string>")
+    df = df.select("doc_id", F.array_join("e", " ; ").alias("text"))
+
+    def late(*_):
+        raise TimeoutError
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.alarm(300)
+    try:
+        out = [x for r in pii.replace(df).collect() for x in r.text.split(" ; ")]
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+    assert len(out) == len(set(out)) == len(real) and not set(out) & set(real)
+
+
 # ---------------------------------------------------------------- 4
 
 
