@@ -7,7 +7,7 @@ with rates of at least ``lower`` (0 unless asked for).  A step needs the domains
 its own posterior and the steps so far, so neither is anything kept by document nor anything shuffled but totals.
 
 Defined results: a null or empty text has no words and gets the posterior of an empty text; rows with a null domain are
-not learnt from but are mixed like others; without labelled rows there is one domain and every rate is its target
+not learnt from but are mixed like others; a target of a domain without labelled rows is an error; without labelled rows there is one domain and every rate is its target
 over its total; repeated rows get equal rates; an empty table gives an empty result; other columns are carried by ``mixed``.
 """
 
@@ -17,15 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, groups_of, mix, prepare, row_key, table, words
 from .components import stored
 
 TRAIN_ROWS = 6_000
-#: Domains are the most frequent values, this many at most; the others are not learnt.
-DOMAINS = 32
+#: Labelled rows learnt of each domain beyond the sample, if it has them; so every labelled domain is learnt.
+LEAST = 20
 GRAMS = 1024
 #: Targets by default: totals to this power, scaled so that no domain loses words.
 TEMPERATURE = 0.7
@@ -69,8 +69,12 @@ def _each(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
 
 
 def fit_posterior(docs: DataFrame, labels: DataFrame, domain: str = "lang", rows: int = TRAIN_ROWS) -> Posterior:
-    """Learns from a bounded sample of the labelled rows."""
-    chosen = labels.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    """Learns from a sample of the labelled rows, bounded but for ``LEAST`` of each domain."""
+    labelled = labels.where("doc_id is not null").select("doc_id").distinct()
+    chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    known = docs.select("doc_id", F.col(domain).cast("string").alias("domain")).where("domain is not null").join(labelled, "doc_id")
+    rank = F.row_number().over(Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = chosen.union(known.withColumn("rank", rank).where(F.col("rank") <= LEAST).select("doc_id")).distinct()
     picked = docs.select("doc_id", F.col(domain).cast("string").alias("domain"), "text").where("domain is not null").join(F.broadcast(chosen), "doc_id").select("domain", "text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,17 +83,12 @@ def fit_posterior(docs: DataFrame, labels: DataFrame, domain: str = "lang", rows
                 yield pa.record_batch({"domain": b.column("domain").slice(lo, hi - lo), "x": pa.array([r.astype("<f4").tobytes() for r in x], pa.binary())})
 
     got = picked.mapInArrow(run, "domain string, x binary").toArrow()
-    names, inverse, counts = np.unique(np.array(got.column("domain").to_pylist(), dtype=object).astype(str), return_inverse=True, return_counts=True)
+    names, inverse = np.unique(np.array(got.column("domain").to_pylist(), dtype=object).astype(str), return_inverse=True)
     if not len(names):
         return Posterior([""], np.zeros((GRAMS, 1)), np.zeros(1))
-    order = np.argsort(-counts, kind="stable")[:DOMAINS]
-    place = np.full(len(names), -1)
-    place[np.sort(order)] = np.arange(len(order))
-    y = place[inverse]
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), "<f4").reshape(-1, GRAMS)[y >= 0]
-    y = y[y >= 0]
-    hot = np.eye(len(order), dtype=np.float32)[y]
-    out = Posterior([str(n) for n in names[np.sort(order)]], np.zeros((GRAMS, len(order)), np.float32), np.zeros(len(order), np.float32))
+    x = np.frombuffer(b"".join(got.column("x").to_pylist()), "<f4").reshape(-1, GRAMS)
+    hot = np.eye(len(names), dtype=np.float32)[inverse]
+    out = Posterior([str(n) for n in names], np.zeros((GRAMS, len(names)), np.float32), np.zeros(len(names), np.float32))
     for _ in range(200):  # features have norm 1, so the curvature is at most 1/2
         r = out(x) - hot
         out.weight -= 4.0 * (x.T @ r / len(x) + 1e-5 * out.weight)
@@ -107,6 +106,8 @@ def rates(p: np.ndarray, history: list[np.ndarray], lower: float = 0.0) -> np.nd
 
 def fit_rates(docs: DataFrame, posterior: Posterior, targets: dict[str, float] | None = None, lower: float = 0.0) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """(gradient steps, targets, fitted totals).  targets: words wanted of each domain; by default TEMPERATURE sets them."""
+    if unknown := sorted(set(targets or ()) - set(posterior.domains)):
+        raise ValueError(f"targets of domains that are not learnt: {', '.join(unknown)}")
 
     def posteriors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:

@@ -317,6 +317,16 @@ def test_mixing(docs, odd, labels):
     assert mixing.mixed(odd.limit(0), labels).count() == 0 and mixing.mixed(docs.limit(5), labels.limit(0)).count() == 5
 
 
+def test_mixing_learns_every_domain(spark):
+    sizes = [200] * 40 + [2]  # the last is rarer than the sample of 50 rows shows
+    rows = [(1000 * k + i, f"{chr(97 + k % 26)}{chr(97 + k // 26)}x " * 30, f"s{k:02}") for k, n in enumerate(sizes) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    p = mixing.fit_posterior(docs, docs.select("doc_id"), "source", rows=50)
+    assert p.domains == [f"s{k:02}" for k in range(len(sizes))]
+    with pytest.raises(ValueError, match="s99"):
+        mixing.fit_rates(docs, p, {"s00": 10.0, "s99": 10.0})
+
+
 # ---------------------------------------------------------------- 8
 
 
