@@ -123,20 +123,21 @@ def _card(e: Column, zeros: Column, digits: Column, letters: Column) -> Column:
     return F.concat(drawn.substr(F.lit(1), F.length(drawn) - 1), last.cast("string"))
 
 
-def _number(stream: Column, at: int) -> Column:
-    return F.conv(stream.substr(at, 4), 16, 10).cast("int")
+def _number(stream: Column, at: int | Column) -> Column:
+    return F.conv(stream.substr(at, F.lit(4) if isinstance(at, Column) else 4), 16, 10).cast("int")
 
 
-def _pick(names: list[str], stream: Column, at: int) -> Column:
+def _pick(names: list[str], stream: Column, at: int | Column) -> Column:
     return F.element_at(F.split(F.lit(",".join(names)), ","), _number(stream, at) % len(names) + 1)
 
 
 def _name(e: Column, h: Column, attempt: Column) -> Column:
     given = F.concat(F.lit(","), F.substring_index(e, " ", 1), F.lit(","))
+    parts = F.sequence(F.lit(1), F.least(F.greatest(attempt - ROOMY, F.lit(0)) + 1, F.lit(15)))
     out = F.lit(None).cast("string")
     for (script, gender), names in GIVEN.items():
         # a second and further family names once single ones run short
-        family = F.slice(F.array(*[_pick(FAMILY[script, gender], h, k) for k in range(5, 64, 4)]), F.lit(1), F.least(F.greatest(attempt - ROOMY, F.lit(0)) + 1, F.lit(15)))
+        family = F.transform(parts, lambda k: _pick(FAMILY[script, gender], h, 4 * k + 1))
         out = F.when(F.lit("," + ",".join(names) + ",").contains(given), F.concat_ws(" ", _pick(names, h, 1), F.array_join(family, "-"))).otherwise(out)
     return out
 
