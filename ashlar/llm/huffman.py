@@ -164,7 +164,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 0) -> None:
                 total += c
             yield pa.record_batch({"bucket": b.column("bucket"), "start": pa.array(start, pa.int64()), "doc_id": b.column("doc_id"), "n": b.column("n"), "ids": b.column("ids")})
 
-    dealt = docs.mapInArrow(tokenize, "bucket int, doc_id long, key long, n long, ids binary").repartition(n, "bucket")
+    dealt = docs.mapInArrow(tokenize, "bucket int, doc_id long, key long, n long, ids binary").repartitionById(n, F.col("bucket"))
     dealt = dealt.sortWithinPartitions("bucket", F.asc_nulls_last("doc_id"), "key")
     dealt.mapInArrow(number, "bucket int, start long, doc_id long, n long, ids binary").write.parquet(f"{folder}/ids", compression="none")
     kept = spark.read.parquet(f"{folder}/ids")

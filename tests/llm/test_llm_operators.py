@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ashlar.llm import gbt, huffman, lz, mixing, packing, pii, quality, similar, simhash, suffix, toxicity, warc
 from ashlar.llm.common import prepare
 from ashlar.llm.components import components
-from ashlar.llm.tokens import Encoder, vocabulary
+from ashlar.llm.tokens import encoder, vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, key long, home int, row int, kind string"
@@ -98,20 +98,33 @@ def test_suffix_ranks_are_the_order():
 # ---------------------------------------------------------------- 2 and 5
 
 
-def test_encoder_is_the_library():
+def test_encoder_is_the_library(texts):
     from tokenizers import Tokenizer
 
-    cases = ["", " ", "a  b", "it's OK 'sfoo", "x<|endoftext|>y", "\n\nab\n c\n", "ΣΑΣ İstanbul ŉa ſt", "éa", "\x1cab\x1d", "½ ² a1b2", "日本 a　b", "a b c", "😀 w😀", "ab-cd_ef", "line\nend word.\nNext"]
+    cases = ["", " ", "a  b", "it's OK 'sfoo", "x<|endoftext|>y", "x <|endoftext|> y<|startoftext|>", "\n\nab\n c\n", "ΣΑΣ İstanbul ŉa ſt", "éa", "\x1cab\x1d", "½ ² a1b2", "日本 a　b", "a b c", "😀 w😀", "ab-cd_ef", "line\nend word.\nNext", "\n" * 4 + "x", " " * 300_000, "a\r\n\tb", *list(texts.values())[:60]]
+    rng = np.random.default_rng(0)
+    cases += ["".join(map(chr, rng.choice([*range(32, 127), *range(160, 0x600), *range(0x2000, 0x2100), *range(0x4E00, 0x4E40), 9, 10, 32, 32, 32], 200))) for _ in range(200)]
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
-        t, e = Tokenizer.from_file(vocabulary(name)), Encoder(vocabulary(name))
-        t.encode_special_tokens = True
+        t, e = Tokenizer.from_file(vocabulary(name)), encoder(vocabulary(name))
+        assert type(e).__name__ == ("WordEncoder" if name.startswith("word") else "ByteEncoder")
         for c in cases:
             assert np.frombuffer(e.ids(c), "<u4").tolist() == t.encode(c, add_special_tokens=False).ids, (name, c)
 
 
+def test_byte_encoder_on_every_code_point():
+    e = encoder(vocabulary("byte_bpe_50k.json"))
+    texts = [f"a{chr(c)}1{chr(c)}! {chr(c)}{chr(c)}b" for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(texts), 1 << 15):
+        want = e.library.encode_batch(texts[i : i + (1 << 15)], add_special_tokens=False)
+        assert all(np.frombuffer(e.plain(t), "<u4").tolist() == w.ids for t, w in zip(texts[i : i + (1 << 15)], want, strict=True))
+
+
 def ids_of(df, name, end):
-    e = Encoder(vocabulary(name))
-    return [(i, np.frombuffer(e.ids(t or "") + np.array([end], "<u4").tobytes(), "<u4")) for i, t in pairs(df)]
+    """By the library."""
+    from tokenizers import Tokenizer
+
+    e = Tokenizer.from_file(vocabulary(name))
+    return [(i, np.array([*e.encode(t or "", add_special_tokens=False).ids, end], "<u4")) for i, t in pairs(df)]
 
 
 def test_packing(docs, odd):
@@ -484,11 +497,14 @@ def phrases_by_force(b):
 
 
 def test_lz(docs, odd, texts):
-    for t in ("", "a", "aaaaaaa", "abababab", "héllo wörld"):
-        p = lz.Parse().feed(t.encode())
-        assert len(p.next) == len(phrases_by_force(t.encode()))
-        half = len(t.encode()) // 2
-        assert np.array_equal(lz.Parse().feed(t.encode()[:half]).fork().feed(t.encode()[half:]).signature(), p.signature())
+    for t in ("", "a", "aaaaaaa", "abababab", "héllo wörld", texts[1]):
+        t = t.encode()
+        p = lz.Parse().feed(t)
+        assert {t[a:b] for a, b in zip(p.cuts, p.cuts[1:], strict=False)} == phrases_by_force(t) and len(p.cuts) == len(phrases_by_force(t)) + 1
+        q = lz.Parse().feed(t[: len(t) // 2])
+        mark = q.mark()
+        q.feed(b"another ending " * 9).back(mark)
+        assert np.array_equal(q.feed(t[len(t) // 2 :]).signature(), p.signature())
     ids = sorted(texts, reverse=True)
     got = {r.doc_id: r for r in lz.edits(docs).collect()}
     for k, i in enumerate(ids):
