@@ -3,6 +3,7 @@
 SELECT …      the first 10 rows        full SELECT …   all rows
 \\c PATH       connect                  \\tables         connections
 \\d, \\schema   the columns              \\info           what the source is
+\\head          the first rows      \\files, \\chunks  an Iceberg table's entries, a Parquet file's column chunks
 \\refresh      look at the files again  help, \\q or exit
 """
 
@@ -33,6 +34,10 @@ def execute(engine: Engine, line: str) -> str | None:
             return "\n".join(engine.tables())
         if word == "\\info":
             return "\n".join(f"{k}: {v}" for k, v in engine.info(rest.strip() or None).items())
+        if word == "\\head":
+            return engine.display(engine.preview(rest.strip() or None))
+        if word in ("\\files", "\\chunks"):
+            return engine.display(engine.inside(rest.strip() or None))
         if word == "\\refresh":
             engine.refresh(rest.strip() or None)
             return "refreshed"

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ashlar import dialect
 from ashlar.errors import EngineError
-from ashlar.sources import iceberg, resolve
+from ashlar.sources import iceberg, parquet_info, resolve
 
 
 def build_session(name: str = "ashlar", master: str | None = None, **conf: str) -> SparkSession:
@@ -40,7 +40,7 @@ class Engine:
     def connect(self, path: str, name: str | None = None) -> Connection:
         """Registers a source under a name (its file's, unless given) and makes it the default."""
         name = name or re.sub(r"\W", "_", re.sub(r"\.\w+$", "", path.rstrip("/").rpartition("/")[2])) or "source"
-        kind = resolve.kind_of(path)
+        kind = resolve.kind_of(self.spark, path)
         resolve.read(self.spark, path).createOrReplaceTempView(name)
         self.connections[name] = Connection(name, path, kind)
         self.default = name
@@ -48,7 +48,7 @@ class Engine:
 
     def _view_of(self, name: str) -> str | None:
         known = name.rpartition(".")[2].lower() in dialect.EXTENSIONS
-        if not (resolve.exists(name) if "/" in name or known else False):
+        if not (resolve.exists(self.spark, name) if "/" in name or known else False):
             return None
         view = "_file_" + hashlib.sha1(name.encode()).hexdigest()[:16]
         resolve.read(self.spark, name).createOrReplaceTempView(view)
@@ -84,15 +84,26 @@ class Engine:
         return "\n".join(f"{f.name}: {f.dataType.simpleString()}{'' if f.nullable else ' not null'}" for f in self.table(name).schema)
 
     def info(self, name: str | None = None) -> dict:
-        """What a connection is: kind, path, columns and rows; for Iceberg also format version, files and records."""
+        """What a connection is: kind, path, columns and rows; for Iceberg also format version, files and records, for a
+        Parquet file its row groups (from the footer), for a folder its files."""
         c = self.connections[name or self.default or ""]
         out = {"name": c.name, "path": c.path, "kind": c.kind, "columns": len(self.table(c.name).columns)}
         if c.kind == "iceberg":
             t = iceberg.IcebergTable(self.spark, c.path)
             files = t.files()
             return out | {"format_version": t.metadata.get("format-version"), "snapshot": t.metadata.get("current-snapshot-id"), "files": len(files), "rows": sum(f.records for f in files)}
+        if c.kind == "parquet":
+            found = parquet_info.files(self.spark, c.path)
+            if found == [c.path]:
+                m = parquet_info.footer(self.spark, c.path)
+                return out | {"row_groups": m.num_row_groups, "rows": m.num_rows}
+            out["files"] = len(found)
         return out | {"rows": self.table(c.name).count()}
 
+    def preview(self, name: str | None = None, rows: int = 10) -> DataFrame:
+        """The first rows of a connection."""
+        return self.table(name).limit(rows)
+
     def tables(self) -> list[str]:
         return sorted(self.connections)
 
@@ -106,7 +117,19 @@ class Engine:
 
     def show(self, query: str, rows: int | None = 10, width: int = 50) -> str:
         """A table of the first rows (all if None), each value cut at a width, and the number of rows shown."""
-        df = self.sql(query)
+        return self.display(self.sql(query), rows, width)
+
+    def inside(self, name: str | None = None) -> DataFrame:
+        """An Iceberg table's manifest entries, or a Parquet source's column chunks."""
+        c = self.connections[name or self.default or ""]
+        if c.kind == "iceberg":
+            return iceberg.IcebergTable(self.spark, c.path).summary()
+        if c.kind == "parquet":
+            return parquet_info.chunks(self.spark, c.path)
+        raise EngineError(f"{c.name} is {c.kind}: there is nothing to look into")
+
+    @staticmethod
+    def display(df: DataFrame, rows: int | None = 10, width: int = 50) -> str:
         got = df.collect() if rows is None else df.take(rows + 1)
         more = rows is not None and len(got) > rows
         cells = [["NULL" if v is None else str(v) if len(str(v)) <= width else str(v)[: width - 3] + "..." for v in r] for r in (got[:rows] if more else got)]

@@ -1,4 +1,8 @@
-"""Avro containers: decoded by their own schema, a file a task; no jar is needed."""
+"""Avro containers: decoded by their own schema; no jar is needed.
+
+Files of up to ``SPLIT`` bytes are cells of Spark's binary source.  Larger ones are cut at their sync marker by its text
+source, which splits a file among tasks, so no cell is larger than a block and no file is bound to one task.
+"""
 
 from __future__ import annotations
 
@@ -12,12 +16,15 @@ from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ashlar.errors import FormatError, UnsupportedError
 from ashlar.shipping import ship
+from ashlar.sources import fs
 
 MAGIC = b"Obj\x01"
+SPLIT = 64 << 20
 _PRIMITIVE = {"null": T.NullType(), "boolean": T.BooleanType(), "int": T.IntegerType(), "long": T.LongType(), "float": T.FloatType(), "double": T.DoubleType(), "bytes": T.BinaryType(), "string": T.StringType()}
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
@@ -152,19 +159,34 @@ def records(data: bytes) -> Iterator[dict]:
         n, block = cur.long(), cur.bytes()
         if cur.take(16) != sync:
             raise FormatError("an Avro block does not end with the sync marker")
-        if codec == "deflate":
-            block = zlib.decompress(block, -15)
-        elif codec == "zstandard":
-            import zstandard
-
-            block = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(block)).read()
-        elif codec == "snappy":
-            block = pa.decompress(block[:-4], _snappy_size(block), "snappy").to_pybytes()
-        elif codec != "null":
-            raise UnsupportedError(f"Avro codec {codec!r}")
-        inner = Cursor(block)
-        for _ in range(n):
-            yield read(inner)
+        yield from _records_of(n, block, codec, read)
+
+
+def _records_of(n: int, block: bytes, codec: str, read: Callable[[Cursor], object]) -> Iterator[dict]:
+    if codec == "deflate":
+        block = zlib.decompress(block, -15)
+    elif codec == "zstandard":
+        import zstandard
+
+        block = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(block)).read()
+    elif codec == "snappy":
+        block = pa.decompress(block[:-4], _snappy_size(block), "snappy").to_pybytes()
+    elif codec != "null":
+        raise UnsupportedError(f"Avro codec {codec!r}")
+    inner = Cursor(block)
+    for _ in range(n):
+        yield read(inner)
+
+
+def _between_markers(part: bytes, codec: str, read: Callable[[Cursor], object]) -> Iterator[dict]:
+    """The records of what stands between two sync markers: the file's head has none."""
+    if part[:4] == MAGIC:
+        return
+    cur = Cursor(part)
+    n, block = cur.long(), cur.bytes()
+    if cur.at != len(part):
+        raise FormatError("an Avro block does not end with the sync marker")
+    yield from _records_of(n, block, codec, read)
 
 
 def _snappy_size(block: bytes) -> int:
@@ -218,30 +240,64 @@ def spark_type(schema, names: dict | None = None) -> T.DataType:
     return out
 
 
-def read_avro(spark: SparkSession, *paths: str) -> DataFrame:
-    """A DataFrame over Avro files, folders or patterns; any file system that Spark reads."""
+def _decoded(cells: DataFrame, of: Callable[[bytes], Iterator], schema: T.StructType) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    ship(spark)
-    files = spark.read.format("binaryFile").load(list(paths))
-    first = files.select("content").first()
-    if first is None:
-        raise FormatError(f"no Avro file in {', '.join(paths)}")
-    schema = spark_type(header(bytes(first.content))[0])
-    if not isinstance(schema, T.StructType):
-        schema = T.StructType([T.StructField("value", schema)])
     arrow = to_arrow_schema(schema)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
         for b in it:
-            for content in b.column(0):
-                rows = []
-                for r in records(content.as_py()):
+            for cell in b.column(0):
+                for r in of(cell.as_py()):
                     rows.append(r if isinstance(r, dict) else {"value": r})
                     if len(rows) == 4096:
                         yield pa.RecordBatch.from_pylist(rows, arrow)
                         rows = []
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, arrow)
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    return cells.mapInArrow(run, schema)
+
+
+def read_avro(spark: SparkSession, *paths: str) -> DataFrame:
+    """A DataFrame over Avro files, folders or patterns; any file system that Spark reads."""
+    ship(spark)
+    files = spark.read.format("binaryFile").load(list(paths))
+    large = [r.path for r in files.where(F.col("length") > SPLIT).select("path").collect()]  # names alone are read
+    first = files.select("path").first()
+    if first is None:
+        raise FormatError(f"no Avro file in {', '.join(paths)}")
+    schema = spark_type(_head(spark, first.path)[0])
+    if not isinstance(schema, T.StructType):
+        schema = T.StructType([T.StructField("value", schema)])
+    out = _decoded(files.where(F.col("length") <= SPLIT).select("content"), records, schema)
+    for path in large:
+        own, codec, sync, _ = _head(spark, path)
+        # bytes pass the text source as they are; the marker is given in a character set that has them all
+        parts = spark.read.format("text").options(encoding="ISO-8859-1", lineSep=sync.decode("latin-1")).load(path).select(F.col("value").cast("binary"))
+        out = out.unionByName(_decoded(parts, _of_blocks(own, codec), schema))
+    return out
+
+
+def _of_blocks(schema, codec: str) -> Callable[[bytes], Iterator]:
+    made: list = []  # in the worker: readers hold closures over themselves
+
+    def of(part: bytes) -> Iterator:
+        if not made:
+            made.append(reader(schema))
+        return _between_markers(part, codec, made[0])
+
+    return of
+
 
-    return files.select("content").mapInArrow(run, schema)
+def _head(spark: SparkSession, path: str) -> tuple[dict, str, bytes, int]:
+    most = 1 << 16
+    while True:
+        data = fs.read(spark, path, most)
+        try:
+            return header(data)
+        except FormatError:
+            if len(data) < most or data[:4] != MAGIC:
+                raise
+            most *= 16

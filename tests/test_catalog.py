@@ -1,12 +1,18 @@
 """Every registered relational query against its SQL in DuckDB."""
 
 import math
+import os
+import shutil
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
 import pytest
 
-from ashlar.plans.catalog import ORACLE, QUERIES
+from ashlar.plans import catalog, source_catalog
+
+QUERIES, ORACLE = catalog.QUERIES | source_catalog.QUERIES, catalog.ORACLE | source_catalog.ORACLE
 
 
 def norm(rows):
@@ -45,3 +51,17 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entry_without_the_training_data_operators(tmp_path):
+    """On a copy without the subpackage, its tests and the pipeline."""
+    top = Path(__file__).parent.parent
+    shutil.copytree(top / "ashlar", tmp_path / "ashlar", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(top / "__spark_entry__.py", tmp_path)
+    for with_pipeline in (False, True):
+        if with_pipeline:
+            if not (top / "corpus_pipeline.py").exists():
+                break
+            shutil.copy(top / "corpus_pipeline.py", tmp_path)
+        code = "import __spark_entry__ as e; q = e.queries(); assert 'scan_star' in q and 'pipeline' not in q and not any(n.startswith('op1_') for n in q) and set(e.oracle_sql()) <= set(q)"
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": os.environ["PATH"], "PYTHONPATH": str(tmp_path)}, check=True)

@@ -74,6 +74,22 @@ def test_avro(spark, tmp_path, codec):
     assert [tuple(r) for r in e.sql("SELECT dept, COUNT(*) AS n, MAX(age) AS m WHERE age > 0 GROUP BY dept").collect()] == [("x", 2, 41)]
 
 
+def test_avro_is_split_at_its_markers(spark, tmp_path, monkeypatch):
+    rows = [{**ROWS[i % 3], "age": i, "dept": "x\n" * (i % 40)} for i in range(4000)]
+    for codec, sync in (("deflate", bytes(range(128, 144))), ("null", b"\n\r\0\xff" * 4)):
+        (tmp_path / f"{codec}.avro").write_bytes(container(PEOPLE, rows, codec, sync, per=7))
+    monkeypatch.setattr(avro, "SPLIT", 1000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = avro.read_avro(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() > 8
+        got = sorted([r.asDict() for r in df.collect()], key=lambda r: r["age"])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [r for r in rows for _ in range(2)]
+
+
 def test_avro_errors():
     good = container(PEOPLE, ROWS)
     with pytest.raises(FormatError):
@@ -119,7 +135,7 @@ def make_table(spark, root, kind="full", content=0, snapshot=7):
 @pytest.mark.parametrize("kind", ["full", "json"])
 def test_iceberg(spark, tmp_path, kind):
     path = make_table(spark, tmp_path / "t", kind)
-    assert resolve.kind_of(path) == "iceberg"
+    assert resolve.kind_of(spark, path) == "iceberg"
     assert iceberg.read_iceberg(spark, path).count() == 12
     assert sorted(r.id for r in iceberg.read_iceberg(spark, path, "age >= 12 AND price < 2").collect()) == [12, 13]
 
@@ -145,6 +161,28 @@ def test_iceberg_edges(spark, tmp_path):
         iceberg.read_iceberg(spark, str(tmp_path / "del"))
 
 
+def test_iceberg_decimal_bounds(spark, tmp_path):
+    t = iceberg.IcebergTable(spark, make_table(spark, tmp_path / "t"))
+    t.fields[2]["type"] = "decimal(9,2)"
+    f = iceberg.DataFile("p", 1, {3: b"\x6e"}, {3: b"\x6e"})  # 1.10
+    left = lambda w: t.may_match(f, iceberg.conjuncts_of(w))
+    assert left("price = 1.1") and left("price >= 1.1") and left("price <= 1.10") and not left("price > 1.1") and not left("price = 1.11") and not left("price < 1.1")
+    t.fields[2]["type"] = "double"
+    f = iceberg.DataFile("p", 1, {3: struct.pack("<d", 1.1)}, {3: struct.pack("<d", 1.1)})
+    assert left("price = 1.1") and left("price >= 1.1") and not left("price > 1.1")
+    t.fields[2]["type"] = "float"
+    f = iceberg.DataFile("p", 1, {3: struct.pack("<f", 1.1)}, {3: struct.pack("<f", 1.1)})
+    assert left("price > 1.1") and left("price >= 1.1") and not left("price < 1.0")
+
+
+def test_remote_table_is_recognised(spark, tmp_path):
+    make_table(spark, tmp_path / "t")
+    path = f"file://{tmp_path}/t"
+    assert resolve.kind_of(spark, path) == "iceberg" and iceberg.read_iceberg(spark, path, "age >= 12").count() == 6
+    with pytest.raises(SourceError, match="HTTP"):
+        resolve.kind_of(spark, "https://example.org/t")
+
+
 def test_bounds_by_type():
     assert iceberg.decode("double", struct.pack("<d", 1.5)) == 1.5 and iceberg.decode("int", struct.pack("<i", -3)) == -3
     assert iceberg.decode("long", struct.pack("<q", 9)) == 9 and iceberg.decode("double", struct.pack("<d", float("nan"))) is None
