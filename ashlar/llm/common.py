@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,24 +9,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ashlar.shipping import ship
+from ashlar.sources import fs
 
-#: Rows of one Arrow batch between the JVM and Python; texts are long, so batches stay small.
-ARROW_ROWS = 256
+#: Bytes of one Arrow batch between the JVM and Python, unless the session says otherwise: batches of long texts have few rows.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """The package for the workers, small Arrow batches, and a checkpoint folder where the cluster names none (tests)."""
+    """The package for the workers, a bound for Arrow batches where none is set, and the shared folder, or an error without one."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    if not spark.conf.get("spark.checkpoint.dir", "") and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ashlar-"))
+    if spark.conf.get(BATCH, None) in (None, "", str(2**31 - 1), f"{2**31 - 1}b"):
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+    fs.shared_top(spark)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share."""
     prepare(spark)
-    top = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return fs.shared_folder(spark, name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

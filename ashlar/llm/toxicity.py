@@ -1,18 +1,18 @@
 """Toxicity (6): noisy-channel deobfuscation, then a score of the restored text.
 
-A character language model is counted over all documents.  Words that look disguised (letters among digits or
-symbols, drawn-out letters, spelled with spaces or dots) are lattices: each character may stand for itself, for the
-letters it is written for, or for nothing; Viterbi decoding takes the path that the channel and the language model like
-best.  Plain words are their own only path.  A logistic regression over restored words and their beginnings, by how
-far each exceeds what a clean text of that length holds, scores the document.
+A character language model is counted over all documents, whatever letters they use.  Words that look disguised (letters
+among digits or signs, drawn-out or doubled letters, letters set apart by blanks or other signs) are lattices: a sign may
+stand for itself, for the letters it is written for, or for nothing; a blank may end a word or stand for nothing.
+Viterbi decoding takes the path that the channel and the language model like best.  Plain words are their own only path.
+A logistic regression over restored words and their beginnings, by how far each exceeds what a clean text of that length
+holds, scores the document.
 
 Labels are learnt only from rows whose crc32(doc_id as text) mod 4 is not 2, at most ``TRAIN_ROWS`` of them, chosen by
 hash of the id.  Labels, lang, source and doc_id are no inputs of a score.
 
 Defined results: null and empty texts get the score of a text without signs; a null doc_id is not held out; repeated
 rows score alike; without labels of both classes every score is the share of toxic labels (0 if there are none);
-an empty table gives an empty result; other columns are ignored.  Tokens of over ``LONGEST`` characters are no words and
-are taken as they are.
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,110 +21,216 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, groups_of, prepare, table
+from .common import prepare, table
 
 TRAIN_ROWS = 12_000
-FEATURES = 3_000
-LONGEST = 32
+#: Three letters in a row that the model keeps, the most frequent ones; the rest are estimated from two letters and one.
+GRAMS = 400_000
 THRESHOLD = 0.3
 #: Of the language model against the channel.
 WEIGHT = 0.7
 #: Letters that a sign is written for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
+#: Costs of the channel.
+WRITTEN, WILD, DRAWN, TWICE, MARK, OTHER, NARROW, WIDE = -0.7, -3.5, -0.8, -6.0, -0.7, -8.0, -1.5, -3.0
+#: Signs that are decoded at a time; the best path so far is then settled.
+SEGMENT = 4096
 _PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~…“”„«»‘’"
 _THRICE = re.compile(r"(.)\1\1")
-_SPELLED = re.compile(r"(?<!\S)\w(?: \w){3,}(?!\S)")
-_LETTER = np.zeros(256, np.int32)
-_LETTER[97:123] = _LETTER[65:91] = np.arange(1, 27)
+_DOUBLED = re.compile(r"(.)\1.*(.)\2.*(.)\3")
+_PARTS = re.compile(r"[^\W\d_]{3,}(?:[^\w@$!|+(€£*\s]+[^\W\d_]{3,})+")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_SIGN = r"[^\W_]|[@$!|+*€£(]"
+_SPELLED = re.compile(rf"(?<![^\s\"'(\[«„“])(?:{_SIGN})(?:\s+(?:{_SIGN})){{2,}}(?=[\"'.,;:?…)\]»”“]*(?:\s|$))")
 
 
 # ---------------------------------------------------------------- language model
 
 
-def trigram_counts(docs: DataFrame) -> np.ndarray:
-    """Counts of three letters in a row (0: no letter of a-z) over all documents, 27 x 27 x 27."""
+@lru_cache(1)
+def _letters() -> np.ndarray:
+    """Of every code point, whether it is a letter."""
+    return np.frombuffer(bytes(chr(c).isalpha() for c in range(0x110000)), bool)
+
+
+def gram_counts(docs: DataFrame) -> DataFrame:
+    """(a, b, c, n): counts of three letters in a row, lower case, over all documents; 0 is any other sign."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(27**3, np.int64)
-        for b in it:
-            data, off = as_bytes(b.column("text"))
-            for lo, hi in groups_of(off, 1 << 20):
-                c = np.concatenate([[0], _LETTER[data[off[lo] : off[hi]]], [0]])
-                total += np.bincount(c[:-2] * 729 + c[1:-1] * 27 + c[2:], minlength=27**3)
-        used = np.flatnonzero(total)
-        yield pa.record_batch({"gram": pa.array(used, pa.int64()), "n": pa.array(total[used])})
-
-    out = np.zeros(27**3, np.int64)
-    for r in docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # 27**3 rows at most
-        out[r.gram] = r.n
-    return out.reshape(27, 27, 27)
-
-
-def log_model(counts: np.ndarray) -> np.ndarray:
-    """log P(third | first two), interpolated with two letters and one."""
-    c = counts.astype(float)
-    c[:, 0, 0] = 0  # runs of other characters
-    c[0, 0, :] += c[1:, 0, :].sum(0)  # a word begins after any word
-    two, one = c.sum(0), c.sum((0, 1))
-    p1 = (one + 1) / (one.sum() + 27)
-    p2 = (two + 5 * p1) / (two.sum(1, keepdims=True) + 5)
-    return np.log((c + 3 * p2) / (c.sum(2, keepdims=True) + 3))
-
-
-def restore(span: str, model: list) -> str:
-    """The likeliest word behind a disguised one: Viterbi over the lattice of its characters.
-
-    A state is (last two letters, whether the last sign was a letter kept from it).
+        known = np.zeros(1, np.int64)  # the letters met so far, 0 first
+        total = np.zeros(1, np.int64)
+        place = np.zeros(0x110000, np.int64)
+
+        def give() -> pa.RecordBatch:
+            k = len(known)
+            used = np.flatnonzero(total)
+            a, b, c = (known[x] for x in (used // (k * k), used // k % k, used % k))
+            return pa.record_batch({"a": pa.array(a.astype(np.int32)), "b": pa.array(b.astype(np.int32)), "c": pa.array(c.astype(np.int32)), "n": pa.array(total[used])})
+
+        for batch in it:
+            text = "\0\0".join(t for t in batch.column("text").to_pylist() if t).lower()
+            points = np.frombuffer(f"\0\0{text}\0".encode("utf-32-le", "surrogatepass"), "<u4")
+            points = np.where(_letters()[points], points, 0)
+            met = np.flatnonzero(np.bincount(points, minlength=1))
+            if len(new := np.setdiff1d(met, known)):
+                if total.any() and len(known) + len(new) > 128:  # a table by place would be large
+                    yield give()
+                    known, total = np.zeros(1, np.int64), np.zeros(1, np.int64)
+                    new = np.setdiff1d(met, known)
+                wide = np.concatenate([known, new])
+                k, m = len(known), len(wide)
+                if m <= 128:
+                    grown = np.zeros((m, m, m), np.int64)
+                    grown[:k, :k, :k] = total.reshape(k, k, k)
+                    known, total = wide, grown.ravel()
+                    place[known] = np.arange(m)
+            if len(known) > 1 and not len(np.setdiff1d(met, known)):
+                k, at = len(known), place[points]
+                total += np.bincount((at[:-2] * k + at[1:-1]) * k + at[2:], minlength=k**3)
+            else:  # many letters: by value
+                p = points.astype(np.int64)
+                grams, n = np.unique((p[:-2] << 42) | (p[1:-1] << 21) | p[2:], return_counts=True)
+                mask = (1 << 21) - 1
+                yield pa.record_batch({"a": pa.array((grams >> 42).astype(np.int32)), "b": pa.array((grams >> 21 & mask).astype(np.int32)), "c": pa.array((grams & mask).astype(np.int32)), "n": pa.array(n.astype(np.int64))})
+        if total.any():
+            yield give()
+
+    counted = docs.select("text").mapInArrow(run, "a int, b int, c int, n long").where("b != 0 or c != 0")
+    # a word begins after any word
+    counted = counted.withColumn("a", F.when(F.col("b") == 0, 0).otherwise(F.col("a")))
+    return counted.groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
+
+
+class Language:
+    """log P(third sign | first two), interpolated with two signs and one; a blank is any sign that is no letter."""
+
+    def __init__(self, three: dict[str, int], two: dict[str, int], one: dict[str, int], after_two: dict[str, int], after_one: dict[str, int]):
+        self.three, self.two, self.one, self.after_two, self.after_one = three, two, one, after_two, after_one
+        self.total, self.kinds = sum(one.values()), len(one) + 1
+        self.cache: dict[str, float] = {}
+        nexts = defaultdict(list)
+        for k, n in two.items():
+            if k[1] != " ":
+                nexts[k[0]].append((-n, k[1]))
+        #: The letters that follow a sign most often.
+        self.nexts = {k: [c for _, c in sorted(v)[:32]] for k, v in nexts.items()}
+
+    def __call__(self, gram: str) -> float:
+        got = self.cache.get(gram)
+        if got is None:
+            one = (self.one.get(gram[2], 0) + 1) / (self.total + self.kinds)
+            two = (self.two.get(gram[1:], 0) + 5 * one) / (self.after_one.get(gram[1], 0) + 5)
+            got = math.log((self.three.get(gram, 0) + 3 * two) / (self.after_two.get(gram[:2], 0) + 3))
+            if len(self.cache) > 1_000_000:
+                self.cache.clear()
+            self.cache[gram] = got
+        return got
+
+    def __getstate__(self):
+        return self.three, self.two, self.one, self.after_two, self.after_one
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+
+def language(docs: DataFrame, grams: int = GRAMS) -> Language:
+    """The model of all documents.  The driver gets the ``grams`` most frequent of each length."""
+    counts = gram_counts(docs).cache()
+
+    def top(by: list[str]) -> dict[str, int]:
+        rows = counts.groupBy(*by).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), *by).limit(grams).collect()
+        return {"".join(chr(r[c]) if r[c] else " " for c in by): r.n for r in rows}
+
+    out = Language(top(["a", "b", "c"]), top(["b", "c"]), top(["c"]), top(["a", "b"]), top(["b"]))
+    counts.unpersist()
+    return out
+
+
+def restore(span: str, model: Language, doubled: bool = False) -> str:
+    """The likeliest words behind a disguised span: Viterbi over the lattice of its signs.
+
+    A state is the last two signs of a path; a path is kept as a chain of its letters.  White space in the span may end
+    a word: a single blank rather stands for nothing, a wider gap rather for a word's end.  doubled: the second of two
+    equal letters may go as easily as that of a drawn-out one.
     """
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    best: dict[str, tuple[float, tuple | None]] = {"  ": (0.0, None)}
     before, span = "", span.lower()
-    drawn = [any(span[max(0, j) : j + 3] == 3 * ch for j in range(i - 2, i + 1)) for i, ch in enumerate(span)]
-    for ch, long in zip(span, drawn, strict=True):
-        into: dict[tuple[int, int], tuple[float, str]] = {}
-        drop = None
-        if "a" <= ch <= "z":
-            options = [(ch, 0.0)]
-            if ch == before:
-                drop = -0.8 if long else -6.0
-        elif ch == "*":
-            options = [(chr(97 + i), -3.5) for i in range(26)]
-            drop = -3.0
-        else:
-            options = [(x, -0.7) for x in LEET.get(ch, "")]
-            drop = -8.0 if ch.isalnum() or options else -0.7
-            if ch == before and options:  # a sign twice is two letters, drawn out it is one
-                drop = -0.8 if long else -6.0
-        for (a, b), (score, word) in best.items():
-            for x, cost in options:
-                i = ord(x) - 96
-                s = score + cost + WEIGHT * model[a][b][i]
-                if (b, i) not in into or into[b, i][0] < s:
-                    into[b, i] = (s, word + x)
-            if drop is not None and ((a, b) not in into or into[a, b][0] < score + drop):
-                into[a, b] = (score + drop, word)
-        best = into or best
-        before = ch
-    return max((s + WEIGHT * model[a][b][0], w) for (a, b), (s, w) in best.items())[1]
-
-
-def words_of(token: str, model: list) -> tuple[str, ...]:
+    runs = [(m[0][0], len(m[0])) for m in re.finditer(r"\s+|(\S)\1*", span)]
+    settled: list[str] = []
+    signs = 0
+    for ch, n in runs:
+        if ch.isspace():
+            keep, drop = (NARROW, 0.0) if n == 1 else (0.0, WIDE)
+            into = {}
+            for state, (score, chain) in best.items():
+                if state not in into or into[state][0] < score + drop:
+                    into[state] = (score + drop, chain)
+                if state[1] != " ":
+                    s = score + keep + WEIGHT * model(state + " ")
+                    if "  " not in into or into["  "][0] < s:
+                        into["  "] = (s, (chain, " "))
+            best = into
+            continue
+        letter, signs_for = ch.isalpha(), LEET.get(ch, "")
+        easy = DRAWN if n > 2 or doubled else TWICE
+        for k in range(n):
+            if letter:
+                options, drop = ((ch, 0.0),), (easy if k else None)
+            elif ch == "*" and n <= 3:
+                options, drop = None, -3.0
+            else:
+                options = tuple((x, WRITTEN) for x in signs_for)
+                drop = easy if k and options else OTHER if ch.isalnum() or options else MARK
+            into = {}
+            for state, (score, chain) in best.items():
+                last = state[1]
+                for x, cost in options if options is not None else [(x, WILD) for x in model.nexts.get(last, ())]:
+                    s = score + cost + WEIGHT * model(state + x)
+                    to = last + x
+                    if to not in into or into[to][0] < s:
+                        into[to] = (s, (chain, x))
+                if drop is not None and (state not in into or into[state][0] < score + drop):
+                    into[state] = (score + drop, chain)
+            best = into or best
+            signs += 1
+            if signs % SEGMENT == 0:
+                state, (score, chain) = max(best.items(), key=lambda e: e[1][0])
+                settled.append(_spelt(chain))
+                best = {state: (score, None)}
+    _, chain = max(((score + (WEIGHT * model(state + " ") if state[1] != " " else 0.0), chain) for state, (score, chain) in best.items()), key=lambda e: e[0])
+    return "".join([*settled, _spelt(chain)]).strip()
+
+
+def _spelt(chain: tuple | None) -> str:
+    out = []
+    while chain:
+        chain, x = chain
+        out.append(x)
+    return "".join(reversed(out))
+
+
+def words_of(token: str, model: Language) -> tuple[str, ...]:
     """The words that a token may be read as: stripped, and restored if it looks disguised."""
     core = token.strip(_PUNCT).lower()
-    if len(token) > LONGEST:
-        return (core,)
     if core.isalpha() and not _THRICE.search(core):
+        if _DOUBLED.search(core):
+            return core, restore(core, model, True)
         near = token.lower().strip("\"#%&'*,-./:;<=>?[\\]^_`{}~.")  # a sign at an edge may be a letter
         if near == core or len(near) > len(core) + 2 or near.rstrip("!|+") == core:
             return (core,)
         return core, restore(near, model)
-    if not core or not any("a" <= c <= "z" for c in core):
+    if not core or not any(map(str.isalpha, core)):
         return ()
+    if _PARTS.fullmatch(core) and not _THRICE.search(core):  # words joined by other signs, or one that they part
+        parts = _LETTERS.findall(core)
+        return (*parts, "".join(parts)) if len(parts) == 2 else tuple(parts)
     return (restore(core, model),)
 
 
@@ -139,7 +245,7 @@ def features_of(words: tuple[str, ...]) -> tuple[str, ...]:
 class Counts(dict):
     """Features of each token, kept up to a bound."""
 
-    def __init__(self, model: list, known: dict[str, int] | None = None):
+    def __init__(self, model: Language, known: dict[str, int] | None = None):
         super().__init__()
         self.model, self.known = model, known
 
@@ -159,7 +265,9 @@ class Counts(dict):
         for f in filter(None, map(self.__getitem__, tokens)):
             out.update(f)
         for m in _SPELLED.finditer(text):
-            got = features_of((restore(m[0].replace(" ", ""), self.model),))
+            if sum(map(str.isalpha, m[0])) < 2:
+                continue
+            got = features_of(tuple(restore(m[0], self.model).split()))
             out.update(got if self.known is None else [self.known[x] for x in got if x in self.known])
         return len(tokens), out
 
@@ -184,7 +292,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, model: list, rows: int = TRAIN_ROWS, features: int = FEATURES) -> Classifier:
+def fit(docs: DataFrame, labels: DataFrame, model: Language, rows: int = TRAIN_ROWS) -> Classifier:
     chosen = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # bounded by `rows`; dealt out so that no task has many of them
@@ -217,7 +325,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: list, rows: int = TRAIN_ROWS,
         return Classifier([], np.zeros(0), np.zeros(0), math.log((share or 1e-12) / (1 - share or 1e-12)))
     p, q, both = F.col("toxic") / all_.toxic, F.col("clean") / all_.clean, (F.col("toxic") + F.col("clean")) / (all_.toxic + all_.clean)
     z = (p - q) / F.sqrt(both * (1 - both) * (1 / all_.toxic + 1 / all_.clean) + 1e-9)
-    top = tallied.where("f != '' and toxic >= 4").withColumn("z", z).where("z > 4").orderBy(F.desc("z"), "f").limit(features).collect()
+    top = tallied.where("f != '' and toxic >= 4").withColumn("z", z).where("z > 4").orderBy(F.desc("z"), "f").collect()  # bounded by the texts of the sample
     names = [r.f for r in top]
     out = Classifier(names, np.array([r.n / max(all_.n, 1) for r in top]), np.zeros(len(top)), 0.0)
     known = {f: i for i, f in enumerate(names)}
@@ -252,7 +360,7 @@ def _regress(row: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray, m
     return w, float(bias)
 
 
-def score(docs: DataFrame, model: list, classifier: Classifier) -> DataFrame:
+def score(docs: DataFrame, model: Language, classifier: Classifier) -> DataFrame:
     """doc_id, held_out, score, predicted: one pass, no shuffle."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,5 +376,5 @@ def score(docs: DataFrame, model: list, classifier: Classifier) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = table(spark, sf_dir, "documents")
-    model = log_model(trigram_counts(docs)).tolist()
+    model = language(docs)
     return score(docs, model, fit(docs, table(spark, sf_dir, "labels"), model))
