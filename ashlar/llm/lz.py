@@ -6,8 +6,8 @@ the smallest hashes of their union, which estimates the share of phrases that tw
 fingerprint is the signature in hexadecimal.
 
 ``edits`` compares each document with an edited copy and with the next document, in descending order of doc_id.
-Ranges of ids go to workers whole, sorted; the first document of each range also goes to the range before, so no row
-travels through one task.
+A range of ids is a task, sorted; the first document of each range also goes to the range before, so no row travels
+through one task.
 
 Defined results: null and empty texts have no phrases and an empty fingerprint, and are alike (1.0) to each other
 and unlike (0.0) anything else; a document alone is its own next; rows with one doc_id stand in the order of their
@@ -25,48 +25,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, partitions, prepare, row_key, table
+from .common import RangeHash, partitions, prepare, row_key, table
 from .huffman import _ranges
 
 #: Hashes kept of a text.
 SIZE = 64
-_STEP, _MASK = 0x9E3779B97F4A7C15, 2**64 - 1
 
 
 class Parse:
-    """The phrases of a text so far; ``fork`` lets two endings share their beginning."""
+    """The phrases of a text so far, as a tree of dictionaries; ``back`` takes a text's ending away for another one."""
 
-    __slots__ = ("next", "hashes", "node")
+    __slots__ = ("data", "root", "node", "cuts", "grown")
 
     def __init__(self):
-        self.next: dict[int, int] = {}
-        #: Of each phrase by number, grown from its beginning's; 0 is the empty phrase.
-        self.hashes = [0]
-        self.node = 0
-
-    def fork(self) -> Parse:
-        out = Parse()
-        out.next, out.hashes, out.node = self.next.copy(), self.hashes.copy(), self.node
-        return out
+        self.data, self.root = b"", {}
+        self.node = self.root
+        #: Where phrases end; what follows the last of them is not yet a phrase.
+        self.cuts = [0]
+        #: The node below which each phrase was hung.
+        self.grown: list[dict] = []
 
     def feed(self, data: bytes) -> Parse:
-        grown, hashes, node = self.next, self.hashes, self.node
-        get, n = grown.get, len(grown)
-        for c in data:
-            key = node << 8 | c
-            below = get(key, 0)
-            if not below:
-                n += 1
-                grown[key] = n
-                hashes.append((hashes[node] + c + 1) * _STEP & _MASK)
-            node = below  # after a new phrase, the root
+        root, node, cut, hung = self.root, self.node, self.cuts.append, self.grown.append
+        for at, c in enumerate(data, len(self.data) + 1):
+            below = node.get(c)
+            if below is None:
+                node[c] = {}
+                hung(node)
+                cut(at)
+                node = root
+            else:
+                node = below
         self.node = node
+        self.data += data
+        return self
+
+    def mark(self) -> tuple[int, int, dict]:
+        return len(self.data), len(self.grown), self.node
+
+    def back(self, mark: tuple[int, int, dict]) -> Parse:
+        """As it was at the mark: the youngest branches are the last entries of their nodes."""
+        size, phrases, self.node = mark
+        for node in reversed(self.grown[phrases:]):
+            node.popitem()
+        del self.grown[phrases:], self.cuts[phrases + 1 :]
+        self.data = self.data[:size]
         return self
 
     def signature(self) -> np.ndarray:
         """The smallest hashes of the phrases, ascending."""
-        h = mix(np.array(self.hashes[1:], np.uint64))
-        return np.unique((h >> np.uint64(32)).astype(np.uint32))[:SIZE]
+        cuts = np.array(self.cuts, np.int64)
+        h = RangeHash(np.frombuffer(self.data, np.uint8, int(cuts[-1])))(cuts[:-1], cuts[1:])
+        h = (h >> np.uint64(32)).astype(np.uint32)
+        least = np.unique(np.partition(h, 2 * SIZE)[: 2 * SIZE]) if len(h) > 2 * SIZE else h  # phrases differ, and so do nearly all hashes
+        return (least if len(least) >= SIZE else np.unique(h))[:SIZE]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -132,8 +144,9 @@ def edits(docs: DataFrame) -> DataFrame:
                 n = len(text)
                 keep = n - n // 3
                 begun = Parse().feed(text[:keep].encode())
-                whole = begun.fork().feed(text[keep:].encode())
-                sign = whole.signature()
+                mark = begun.mark()
+                sign = begun.feed(text[keep:].encode()).signature()
+                begun.back(mark)
                 if held is not None:
                     d0, text0, begun0, sign0 = held
                     n0 = len(text0)
@@ -146,7 +159,7 @@ def edits(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    dealt = docs.withColumn("key", row_key("text")).mapInArrow(deal, "bucket int, lent boolean, doc_id long, text string, key long").repartition(n, "bucket")
+    dealt = docs.withColumn("key", row_key("text")).mapInArrow(deal, "bucket int, lent boolean, doc_id long, text string, key long").repartitionById(len(bounds) + 2, F.col("bucket"))
     dealt = dealt.sortWithinPartitions("bucket", "lent", F.desc_nulls_last("doc_id"), "key")
     return dealt.drop("key").mapInArrow(compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
