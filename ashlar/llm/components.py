@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ashlar.sources import fs
+
 from .common import shared_folder
 
 
@@ -13,25 +15,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark: SparkSession = df.sparkSession
     path = shared_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for t in tables:
+        fs.delete(t.sparkSession, t.stored_at)
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of each linked node; component is the smallest node reachable.
 
     ``links`` has long columns a and b.  Each step needs the minimum of a node's neighbours only, which is combined
-    before the shuffle, so a hub costs no more than its rows; the steps halve the depth of every tree.
+    before the shuffle; the minima are stored, so that the join of a hub's rows with its minimum is one of two plain
+    shuffles, which adaptive execution splits where a hub is hot.  The steps halve the depth of every tree.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "links")
     before = _digest(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e")).select("e.u", F.col("e.m").alias("v")).where("u > v").distinct()
-        edges = stored(small, "links")
-        after = _digest(edges)
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lowest")
+        large = stored(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))  # u's smaller neighbours: few, whatever the hub
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e")).select("e.u", F.col("e.m").alias("v")).where("u > v").distinct()
+        after_edges = stored(small, "links")
+        forget(edges, low, large)
+        edges, after = after_edges, _digest(after_edges)
         if after == before:
             break
         before = after

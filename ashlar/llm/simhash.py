@@ -1,11 +1,13 @@
 """SimHash near-dedup (9): pivot distance tables over fingerprints.
 
 A fingerprint bit is 1 if it is set in over half of the XXH64 values of a text's word shingles.  Equal fingerprints
-are one class from the start.  Classes meet in exact buckets (any two fingerprints that differ in at most 3 bits agree in
-3 of 6 blocks, so 20 block triples lose no pair).  In a bucket each fingerprint has a row of Hamming distances to the
-reference fingerprints; by the triangle inequality a pair whose rows differ by more than 3 in any coordinate is
-discarded, and the survivors are verified.  A large bucket is cut by bytes and then searched from its found
-members outwards, so a dense group gives a spanning tree of links rather than its pairs.
+are one class from the start.  The Hamming distances of each class to ``PIVOTS`` reference fingerprints are computed once
+and go with it.  Classes meet in exact buckets (any two fingerprints that differ in at most 3 bits agree in 3 of 6
+blocks, so 20 block triples lose no pair).  By the triangle inequality a pair whose rows of the table differ by more
+than 3 in any coordinate is discarded, and the survivors are verified.  Members of a bucket are searched from found ones
+outwards along the table's first coordinate, so a dense group gives a spanning tree of links rather than its pairs.  A
+bucket of over ``LARGE`` classes is not searched but dealt anew by its remaining bits: of four parts of them two near
+fingerprints agree in one.
 
 Defined results: null, empty or wordless texts have fingerprint zero and link like any other; fewer words than a
 shingle make one shingle of all; repeated rows get equal results; rows with a null doc_id get a fingerprint and the
@@ -32,9 +34,10 @@ SEED = 42
 #: Blocks of the 64 bits: (shift, width).
 BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
 TRIPLES = list(combinations(range(6), 3))
-PIVOTS = np.random.default_rng(9).integers(0, 2**64, 32, dtype=np.uint64)
+PIVOTS = np.random.default_rng(9).integers(0, 2**64, 16, dtype=np.uint64)
 #: Shingles hashed at a time, and the sizes of buckets that are searched pair by pair or cut first.
 STEP, SMALL, LARGE = 1 << 16, 48, 4096
+FOUND = "a long, b long, key long"
 
 
 def fingerprint(text: bytes, ngram: int) -> int:
@@ -65,51 +68,53 @@ def fingerprints(docs: DataFrame, ngram: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("t")).mapInArrow(run, "doc_id long, fp long")
 
 
+def _blocks(fp: Column) -> list[Column]:
+    return [F.shiftrightunsigned(fp, s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in BLOCKS]
+
+
 def _keys(fp: Column) -> Column:
     """The 20 bucket keys: the triple's number over the bits of its three blocks."""
-    part = [F.shiftrightunsigned(fp, s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in BLOCKS]
+    part = _blocks(fp)
     return F.array(*[F.lit(n).cast("long") * F.lit(1 << 33) + part[i] * F.lit(1 << 22) + part[j] * F.lit(1 << 11) + part[k] for n, (i, j, k) in enumerate(TRIPLES)])
 
 
-def near(x: np.ndarray, y: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Of two equally long rows of fingerprints: which are near.  Pivot coordinates discard, then distances decide."""
-    left = np.arange(len(x))
-    for p in PIVOTS[:4]:
-        gap = np.bitwise_count(x[left] ^ p).astype(np.int8) - np.bitwise_count(y[left] ^ p).astype(np.int8)
-        left = left[np.abs(gap) <= bits]
-    out = np.zeros(len(x), bool)
-    out[left] = np.bitwise_count(x[left] ^ y[left]) <= bits
+def _finer(key: Column, fp: Column) -> Column:
+    """Four keys for a member of a large bucket: a part's number and bits, of the bits that its key leaves open."""
+    part = _blocks(fp)
+    rest = F.array(*[sum((part[b] * F.lit(1 << 11 * p) for p, b in enumerate(sorted(set(range(6)) - set(t)))), F.lit(0).cast("long")) for t in TRIPLES])
+    rest = F.element_at(rest, (F.shiftright(key, 33) + 1).cast("int"))
+    return F.array(*[(key * F.lit(4) + F.lit(p)) * F.lit(1 << 9) + F.shiftright(rest, 8 * p).bitwiseAND(F.lit(255 if p < 3 else 511)) for p in range(4)])
+
+
+def pivot_table(fp: Column) -> list[Column]:
+    """Distances to the pivots, a byte each, in longs."""
+    far = [F.bit_count(fp.bitwiseXOR(F.lit(int(p.view(np.int64))))).cast("long") for p in PIVOTS]
+    return [sum((F.shiftleft(d, 8 * i) for i, d in enumerate(far[k : k + 8])), F.lit(0).cast("long")).alias(f"t{k // 8}") for k in range(0, len(PIVOTS), 8)]
+
+
+def distances(fp: np.ndarray) -> np.ndarray:
+    """The table of an array of fingerprints: a row each."""
+    return np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.int8)
+
+
+def near(fp: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Of pairs of positions: which are near.  The largest difference of coordinates discards, then distances decide."""
+    out = np.zeros(len(i), bool)
+    left = np.flatnonzero(np.abs(table[i] - table[j]).max(1, initial=0) <= bits)
+    out[left] = np.bitwise_count(fp[i[left]] ^ fp[j[left]]) <= bits
     return out
 
 
-def spanning(fp: np.ndarray, used: tuple[int, ...] = ()) -> Iterator[tuple[int, int]]:
+def spanning(fp: np.ndarray, table: np.ndarray) -> Iterator[tuple[int, int]]:
     """Links (positions) that join all members of a bucket that near pairs connect."""
-    if len(fp) > LARGE:
-        # of any four bytes, two near fingerprints agree in one
-        each = fp.view(np.uint8).reshape(-1, 8)
-        kinds = sorted(((len(np.unique(each[:, j])), j) for j in range(8) if j not in used), reverse=True)[:4]
-        if len(kinds) == 4 and kinds[-1][0] > 1:
-            for _, j in kinds:
-                order = np.argsort(each[:, j], kind="stable")
-                for rows in np.split(order, np.flatnonzero(np.diff(each[order, j])) + 1):
-                    if len(rows) > 1:
-                        for a, b in spanning(fp[rows], (*used, j)):
-                            yield int(rows[a]), int(rows[b])
-            return
-    dist = np.bitwise_count(fp[None, :] ^ PIVOTS[:, None]).astype(np.int8)  # a row for each pivot
-    alive = np.argsort(dist[0], kind="stable")
+    alive = np.argsort(table[:, 0], kind="stable")
+    first = table[:, 0]
     while len(alive):
         reached, alive = [int(alive[0])], alive[1:]
         while reached and len(alive):
             x = reached.pop()
-            d0 = dist[0, alive]
-            lo, hi = np.searchsorted(d0, dist[0, x] - BITS), np.searchsorted(d0, dist[0, x] + BITS, "right")
-            at = np.arange(lo, hi)
-            for row in dist[1:]:
-                if len(at) < 32:
-                    break
-                at = at[np.abs(row[alive[at]] - row[x]) <= BITS]
-            at = at[np.bitwise_count(fp[alive[at]] ^ fp[x]) <= BITS]
+            at = np.arange(*np.searchsorted(first[alive], [first[x] - BITS, first[x] + BITS + 1]))
+            at = at[near(fp, table, np.full(len(at), x), alive[at])]
             if len(at):
                 found = alive[at]
                 reached += found.tolist()
@@ -118,60 +123,98 @@ def spanning(fp: np.ndarray, used: tuple[int, ...] = ()) -> Iterator[tuple[int,
                 alive = np.delete(alive, at)
 
 
-def _link(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key.  The last bucket of a batch waits for the next one."""
-    held: list[np.ndarray] = []
+def _search(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of whole buckets, sorted by key: columns key, fp, rep and the table."""
+    key, fp, rep = rows[0], rows[1].copy().view(np.uint64), rows[2]
+    table = np.ascontiguousarray(rows[3:].T).view(np.int8)
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+    size = np.diff(cut)
+    mine = np.repeat(size, size)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    small = np.flatnonzero((mine > 1) & (mine <= SMALL))
+    for d in range(1, min(SMALL, len(small))):
+        i, j = small[:-d], small[d:]
+        same = key[i] == key[j]
+        if not same.any():
+            break
+        i, j = i[same], j[same]
+        ok = near(fp, table, i, j)
+        a.append(rep[i[ok]])
+        b.append(rep[j[ok]])
+    for lo, n in zip(cut[:-1][size > SMALL], size[size > SMALL], strict=True):
+        pairs = np.array(list(spanning(fp[lo : lo + n], table[lo : lo + n])), np.int64).reshape(-1, 2)
+        a.append(rep[lo + pairs[:, 0]])
+        b.append(rep[lo + pairs[:, 1]])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _link(last: bool):
+    """Rows sorted by key to links (a, b); members of large buckets pass as (rep, fp, key), unless this pass is the last."""
 
-    def search(rows: np.ndarray) -> tuple[list, list]:
-        key, fp, rep = rows[0], rows[1].view(np.uint64), rows[2]
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        open_key, passing = None, 0  # of the bucket at the end of what is held: its rows so far in `held`
+
+        def give(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if rows.shape[1] > 1:
+                a, b = _search(rows)
+                if len(a):
+                    yield pa.record_batch({"a": pa.array(a), "b": pa.array(b), "key": pa.nulls(len(a), pa.int64())})
+
+        def passed(rows: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch({"a": pa.array(rows[2]), "b": pa.array(rows[1]), "key": pa.array(rows[0])})
+
+        for batch in it:
+            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            if passing and rows.shape[1]:  # the large bucket that the batch before ended with
+                more = int(np.searchsorted(rows[0], open_key, "right"))
+                if more:
+                    yield passed(rows[:, :more])
+                rows = rows[:, more:]
+                if not rows.shape[1]:
+                    continue
+                passing = 0
+            held.append(rows)
+            if sum(h.shape[1] for h in held) < 1 << 16:
+                continue
+            rows = np.concatenate(held, 1)
+            tail = int(np.searchsorted(rows[0], rows[0, -1], "left"))
+            yield from whole(rows[:, :tail], give, passed, last)
+            held = [rows[:, tail:]]
+            if not last and rows.shape[1] - tail > LARGE:
+                yield passed(held[0])
+                open_key, passing, held = rows[0, -1], 1, []
+        if held:
+            yield from whole(np.concatenate(held, 1), give, passed, last)
+
+    def whole(rows: np.ndarray, give, passed, last: bool) -> Iterator[pa.RecordBatch]:
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(rows[0])) + 1, [rows.shape[1]]])
         size = np.diff(cut)
-        mine = np.repeat(size, size)
-        a, b = [], []
-        small = np.flatnonzero((mine > 1) & (mine <= SMALL))
-        k, f, r = key[small], fp[small], rep[small]
-        for d in range(1, min(SMALL, len(small))):
-            i = np.flatnonzero(k[d:] == k[:-d])
-            if not len(i):
-                break
-            i = i[near(f[i], f[i + d])]
-            a.append(r[i])
-            b.append(r[i + d])
-        for lo, n in zip(cut[:-1][size > SMALL], size[size > SMALL], strict=True):
-            f, r = fp[lo : lo + n].copy(), rep[lo : lo + n]
-            pairs = np.array(list(spanning(f)), np.int64).reshape(-1, 2)
-            a.append(r[pairs[:, 0]])
-            b.append(r[pairs[:, 1]])
-        return a, b
-
-    def give(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if rows.shape[1] > 1:
-            a, b = search(rows)
-            if a:
-                yield pa.record_batch({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    pending = 0
-    for batch in it:
-        held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]))
-        pending += batch.num_rows
-        if pending < 1 << 16:
-            continue
-        rows = np.concatenate(held, 1)
-        last = int(np.searchsorted(rows[0], rows[0, -1], "left"))
-        if last:
-            yield from give(rows[:, :last])
-        held, pending = [rows[:, last:]], rows.shape[1] - last
-    if held:
-        yield from give(np.concatenate(held, 1))
+        many = np.repeat(size > LARGE, size)
+        if last or not many.any():
+            yield from give(rows)
+            return
+        yield passed(rows[:, many])
+        yield from give(rows[:, ~many])
+
+    return run
 
 
 def classes(prints: DataFrame) -> DataFrame:
     """(fp, component_id) of every distinct fingerprint of a stored (doc_id, fp) table."""
     spark = prints.sparkSession
-    reps = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    keyed = reps.where("rep is not null").select(F.explode(_keys(F.col("fp"))).alias("key"), "fp", "rep")
-    found = keyed.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(_link, "a long, b long")
-    joined = components(found)
+    reps = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).select("fp", "rep", *pivot_table(F.col("fp"))), "classes")
+    table = [c for c in reps.columns if c[0] == "t"]
+
+    def buckets(keyed: DataFrame, last: bool) -> DataFrame:
+        return keyed.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(_link(last), FOUND)
+
+    found = stored(buckets(reps.where("rep is not null").select(F.explode(_keys(F.col("fp"))).alias("key"), "fp", "rep", *table), False), "found")
+    links, large = found.where("key is null").select("a", "b"), found.where("key is not null").select("key", F.col("b").alias("fp"), F.col("a").alias("rep"))
+    if not large.isEmpty():
+        finer = large.select(F.explode(_finer(F.col("key"), F.col("fp"))).alias("key"), "fp", "rep", *pivot_table(F.col("fp")))
+        links = links.unionByName(buckets(finer, True).select("a", "b"))
+    joined = components(links)
     return reps.join(joined, reps.rep == joined.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
 
 
