@@ -38,6 +38,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def fresh(names: list[str], name: str) -> str:
+    """A column name that none of ``names`` is."""
+    while name.lower() in {n.lower() for n in names}:
+        name += "_"
+    return name
+
+
 def row_key(*cols: str) -> Column:
     """Tells rows with one id but different contents apart."""
     return F.xxhash64(*cols)
@@ -74,7 +81,7 @@ def groups_of(off: np.ndarray, limit: int) -> list[tuple[int, int]]:
 
 
 _RNG = np.random.default_rng(20240607)
-BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BYTE, OTHER = (_RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INV = np.uint64(pow(int(BASE), -1, 2**64))
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -96,13 +103,13 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class RangeHash:
-    """64-bit polynomial hash of any byte range of one buffer, by prefix sums."""
+    """64-bit polynomial hash of any byte range of one buffer, by prefix sums.  Two with different ``byte`` values make 128 bits."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, byte: np.ndarray = BYTE):
         n = len(data)
         p, self.inv = powers(n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE[data] * p[:n], out=self.sums[1:])
+        np.cumsum(byte[data] * p[:n], out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.inv[start] + (end - start).astype(np.uint64))

@@ -26,5 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_suffix_array_dedup": suffix.ORACLE,
         "op4_warc": warc.ORACLE,
+        "op9_simhash_near_dedup": simhash.ORACLE,
     }

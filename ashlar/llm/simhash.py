@@ -228,3 +228,39 @@ def near_duplicates(docs: DataFrame, ngram: int = 3) -> DataFrame:
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: XXH64 in 128-bit arithmetic: whole stripes of 32 bytes in four lanes, then words of 8, one of 4, single bytes.
+_M = "18446744073709551615::UHUGEINT"
+_P1, _P2, _P3, _P4, _P5 = (f"{p}::UHUGEINT" for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+
+
+def _rot(x: str, n: int) -> str:
+    return f"((({x}) << {n}) & {_M} | (({x}) >> {64 - n}))"
+
+
+def _times(x: str, p: str) -> str:
+    return f"((({x}) * {p}) & {_M})"
+
+
+ORACLE = f"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+g AS (SELECT doc_id, array_to_string(array_slice(w, i, i + 2), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0) t),
+u AS (SELECT s, hex(encode(s)) AS x, octet_length(encode(s)) AS n FROM (SELECT DISTINCT s FROM g) t),
+l AS (SELECT s, n, n // 32 AS stripes, list_transform(range(n // 8), lambda i: ('0x' || substr(x, 16 * i + 15, 2) || substr(x, 16 * i + 13, 2) || substr(x, 16 * i + 11, 2) || substr(x, 16 * i + 9, 2) || substr(x, 16 * i + 7, 2) || substr(x, 16 * i + 5, 2) || substr(x, 16 * i + 3, 2) || substr(x, 16 * i + 1, 2))::UBIGINT::UHUGEINT) AS q,
+  CASE WHEN n % 8 >= 4 THEN ('0x' || substr(x, 16 * (n // 8) + 7, 2) || substr(x, 16 * (n // 8) + 5, 2) || substr(x, 16 * (n // 8) + 3, 2) || substr(x, 16 * (n // 8) + 1, 2))::UBIGINT::UHUGEINT END AS four,
+  list_transform(range(n - n % 4, n), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::UBIGINT::UHUGEINT) AS ones FROM u),
+v AS (SELECT *, list_transform([{{'z': (42::UHUGEINT + {_P1} + {_P2}) & {_M}, 'k': 1}}, {{'z': (42::UHUGEINT + {_P2}) & {_M}, 'k': 2}}, {{'z': 42::UHUGEINT, 'k': 3}}, {{'z': (42::UHUGEINT + {_M} + 1::UHUGEINT - {_P1}) & {_M}, 'k': 4}}],
+  lambda a: list_reduce(list_prepend(a.z, list_transform(range(stripes), lambda j: q[4 * j + a.k])), lambda z, x: {_times(_rot(f"((z + {_times('x', _P2)}) & {_M})", 31), _P1)})) AS lanes FROM l),
+m AS (SELECT *, CASE WHEN stripes = 0 THEN (42::UHUGEINT + {_P5}) & {_M} ELSE list_reduce(list_prepend(({_rot('lanes[1]', 1)} + {_rot('lanes[2]', 7)} + {_rot('lanes[3]', 12)} + {_rot('lanes[4]', 18)}) & {_M}, lanes), lambda h, z: ({_times(f"xor(h, {_times(_rot(_times('z', _P2), 31), _P1)})", _P1)} + {_P4}) & {_M}) END AS h0 FROM v),
+m1 AS (SELECT *, list_reduce(list_prepend((h0 + n::UHUGEINT) & {_M}, array_slice(q, 4 * stripes + 1, len(q))), lambda h, k: ({_times(_rot(f"xor(h, {_times(_rot(_times('k', _P2), 31), _P1)})", 27), _P1)} + {_P4}) & {_M}) AS h1 FROM m),
+m2 AS (SELECT *, CASE WHEN four IS NULL THEN h1 ELSE ({_times(_rot(f"xor(h1, {_times('four', _P1)})", 23), _P2)} + {_P3}) & {_M} END AS h2 FROM m1),
+m3 AS (SELECT *, list_reduce(list_prepend(h2, ones), lambda h, k: {_times(_rot(f"xor(h, {_times('k', _P5)})", 11), _P1)}) AS h3 FROM m2),
+m4 AS (SELECT s, {_times('xor(h3, h3 >> 33)', _P2)} AS h4 FROM m3), m5 AS (SELECT s, {_times('xor(h4, h4 >> 29)', _P3)} AS h5 FROM m4), m6 AS (SELECT s, xor(h5, h5 >> 32)::UBIGINT AS h FROM m5),
+bits AS (SELECT doc_id, count(*) AS n, {", ".join(f"sum((h >> {b}) & 1) AS b{b}" for b in range(64))} FROM g JOIN m6 USING (s) GROUP BY doc_id),
+fp AS (SELECT d.doc_id, coalesce({" + ".join(f"(CASE WHEN 2 * b{b} > n THEN {1 << b}::UBIGINT ELSE 0::UBIGINT END)" for b in range(64))}, 0::UBIGINT) AS f FROM d LEFT JOIN bits ON d.doc_id = bits.doc_id),
+c AS (SELECT f, min(doc_id) AS r FROM fp GROUP BY f),
+e AS (SELECT a.r AS a, b.r AS b FROM c a, c b WHERE bit_count(xor(a.f, b.f)) <= 3),
+reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
+SELECT fp.doc_id, lower(lpad(to_hex(fp.f), 16, '0')) AS fingerprint, low AS component_id FROM fp JOIN c ON fp.f = c.f JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) t ON t.a = c.r
+"""

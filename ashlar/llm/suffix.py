@@ -13,7 +13,8 @@ Removed is each byte covered by a string of ``WIDTH`` bytes that also starts in
    with WIDTH bytes in common are the windows that phrases share.
 4. The removed ranges return to their documents.
 
-Since a phrase carries the bytes that follow it, the order of the dictionary's suffixes is the corpus order as far as
+A phrase is known by its trigger and 128 bits of hash, so that no two of any corpus are taken for one another.  Since a
+phrase carries the bytes that follow it, the order of the dictionary's suffixes is the corpus order as far as
 WIDTH bytes tell, and the parse is grouped rather than sorted.
 
 Defined results: null and empty texts have no bytes and lose none; a row with a null doc_id neither loses bytes nor
@@ -33,24 +34,23 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RangeHash, as_bytes, groups_of, partitions, prepare, table
+from .common import OTHER, RangeHash, as_bytes, groups_of, partitions, prepare, table
 from .components import stored
 
 WIDTH, GRAM = 50, 16
 #: Bytes parsed at a time, and phrases gathered before they are dealt.
 SPAN, GATHER = 1 << 20, 1 << 20
+#: Bytes of text that a home holds, by the corpus's size; there are at least two homes a shuffle partition.
+HOME = 64 << 20
 _PHRASES, _RANGES, _WANTED = 0, 1, 2
 _DEALT = "to int, kind int, blob binary"
-_U8, _U6, _DOC, _ROW, _AT = "<u8", "u6", "<i8", "<u2", "<u4"
+_U8, _DOC, _ROW, _AT = "<u8", "<i8", "<i8", "<u4"
 
 
 def pack(*columns: tuple[str, np.ndarray]) -> bytes:
-    """Columns as planes of bytes, compressed; u6 keeps the six low bytes."""
+    """Columns as planes of bytes, compressed."""
     n = len(columns[0][1])
-    planes = []
-    for kind, values in columns:
-        size = 6 if kind == _U6 else np.dtype(kind).itemsize
-        planes.append(np.ascontiguousarray(values.astype(_U8 if kind == _U6 else kind)).view(np.uint8).reshape(n, -1)[:, :size].T.tobytes())
+    planes = [np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(n, -1).T.tobytes() for kind, values in columns]
     return struct.pack("<I", n) + zstandard.ZstdCompressor(1).compress(b"".join(planes))
 
 
@@ -58,20 +58,18 @@ def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     (n,) = struct.unpack_from("<I", blob)
     raw, at, out = zstandard.ZstdDecompressor().decompress(blob[4:]) if n else b"", 0, []
     for kind in kinds:
-        size = 6 if kind == _U6 else np.dtype(kind).itemsize
-        wide = np.zeros((n, 8 if kind == _U6 else size), np.uint8)
-        wide[:, :size] = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T
-        out.append(wide.view(_U8 if kind == _U6 else kind).reshape(n))
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind).reshape(n))
         at += n * size
     return out
 
 
 def phrases(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(trigger, phrase, document, first position in the buffer, windows) of each phrase."""
+    """(trigger, two hashes, document, first position in the buffer, windows) of each phrase."""
     n = len(data) - WIDTH + 1
     if n <= 0:
         z = np.zeros(0, np.int64)
-        return z.astype(np.uint64), z.astype(np.uint64), z, z, z
+        return z.astype(np.uint64), z.astype(np.uint64), z.astype(np.uint64), z, z, z
     hashed = RangeHash(data)
     low = hashed.rolling(GRAM)
     span, want = 1, WIDTH - GRAM + 1
@@ -93,7 +91,7 @@ def phrases(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     last = ok.copy()
     last[:-1] &= ~ok[1:] | first[1:]
     p, q = np.flatnonzero(first), np.flatnonzero(last)
-    return low[p], hashed(p, q + WIDTH), np.searchsorted(off, p, "right") - 1, p, q - p + 1
+    return low[p], hashed(p, q + WIDTH), RangeHash(data, OTHER)(p, q + WIDTH), np.searchsorted(off, p, "right") - 1, p, q - p + 1
 
 
 def _spans(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
@@ -144,8 +142,8 @@ def _parse(buckets: int):
         for b in it:
             ids, rows, homes = (b.column(c).to_numpy() for c in ("doc_id", "row", "home"))
             for data, off, first, before in _spans(b):
-                trigger, phrase, at, p, n = phrases(data, off)
-                parts.append((trigger, phrase & np.uint64(0xFFFFFFFFFFFF), ids[first + at], rows[first + at].astype(np.uint16), homes[first + at], p - off[at] + before, n))
+                trigger, phrase, other, at, p, n = phrases(data, off)
+                parts.append((trigger, phrase, other, ids[first + at], rows[first + at], homes[first + at], p - off[at] + before, n))
                 held += len(p)
             if held >= GATHER:
                 yield deal(parts)
@@ -154,15 +152,15 @@ def _parse(buckets: int):
             yield deal(parts)
 
     def deal(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        trigger, phrase, doc, row, home, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        later = _later(trigger, phrase, doc)
+        trigger, phrase, other, doc, row, home, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        later = _later(trigger, phrase, other, doc)
         made = []
         if later.any():
             made += _range_rows(doc[later], row[later], home[later], at[later], at[later] + n[later] + WIDTH - 1)
         keep = ~later
-        trigger, phrase, doc, row, home, at, n = (x[keep] for x in (trigger, phrase, doc, row, home, at, n))
+        trigger, phrase, other, doc, row, home, at, n = (x[keep] for x in (trigger, phrase, other, doc, row, home, at, n))
         for k, i in _by(bucket_of(trigger, buckets), buckets):
-            made.append((k, _PHRASES, pack((_U8, trigger[i]), (_U6, phrase[i]), (_DOC, doc[i]), (_ROW, row[i]), (_AT, home[i]), (_AT, at[i]), (_AT, n[i]))))
+            made.append((k, _PHRASES, pack((_U8, trigger[i]), (_U8, phrase[i]), (_U8, other[i]), (_DOC, doc[i]), (_ROW, row[i]), (_AT, home[i]), (_AT, at[i]), (_AT, n[i]))))
         return _rows(made)
 
     return run
@@ -172,7 +170,7 @@ def bucket_of(trigger: np.ndarray, buckets: int) -> np.ndarray:
     return (trigger >> np.uint64(12)).astype(np.int64) % buckets  # triggers are minima: their high bits are not even
 
 
-def _later(trigger: np.ndarray, phrase: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def _later(trigger: np.ndarray, phrase: np.ndarray, other: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Which are of a document after the first that has the phrase."""
     out = np.zeros(len(trigger), bool)
     if not len(trigger):
@@ -186,9 +184,9 @@ def _later(trigger: np.ndarray, phrase: np.ndarray, doc: np.ndarray) -> np.ndarr
     o = o[twice]  # the rest is alone
     if not len(o):
         return out
-    o = o[np.lexsort((doc[o], phrase[o], trigger[o]))]
-    t, p, d = trigger[o], phrase[o], doc[o]
-    new = np.concatenate([[True], (t[1:] != t[:-1]) | (p[1:] != p[:-1])])
+    o = o[np.lexsort((doc[o], other[o], phrase[o], trigger[o]))]
+    t, p, q, d = trigger[o], phrase[o], other[o], doc[o]
+    new = np.concatenate([[True], (t[1:] != t[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])])
     out[o] = d > d[np.flatnonzero(new)][np.cumsum(new) - 1]
     return out
 
@@ -253,7 +251,7 @@ def _dealt(found: list[tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]]) -
 
 def _match(blobs: list[bytes]) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
     """Of one bucket: ranges of phrases seen before, and the phrases whose bytes are wanted."""
-    trigger, phrase, doc, row, home, at, n = (np.concatenate(x) for x in zip(*(unpack(b, _U8, _U6, _DOC, _ROW, _AT, _AT, _AT) for b in blobs), strict=True))
+    trigger, phrase, other, doc, row, home, at, n = (np.concatenate(x) for x in zip(*(unpack(b, _U8, _U8, _U8, _DOC, _ROW, _AT, _AT, _AT) for b in blobs), strict=True))
     o = np.argsort(trigger)
     t = trigger[o]
     same = t[1:] == t[:-1]
@@ -261,12 +259,12 @@ def _match(blobs: list[bytes]) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray
     shared[1:] |= same
     shared[:-1] |= same
     o = o[shared]
-    o = o[np.lexsort((doc[o], phrase[o], trigger[o]))]
-    trigger, phrase, doc, row, home, at, n = (x[o] for x in (trigger, phrase, doc, row, home, at.astype(np.int64), n))
+    o = o[np.lexsort((doc[o], other[o], phrase[o], trigger[o]))]
+    trigger, phrase, other, doc, row, home, at, n = (x[o] for x in (trigger, phrase, other, doc, row, home, at.astype(np.int64), n))
     later, want = np.zeros(len(o), bool), np.zeros(len(o), bool)
     if len(o):
         new_t = np.concatenate([[True], trigger[1:] != trigger[:-1]])
-        new_p = new_t | np.concatenate([[True], phrase[1:] != phrase[:-1]])
+        new_p = new_t | np.concatenate([[True], (phrase[1:] != phrase[:-1]) | (other[1:] != other[:-1])])
         first = doc[new_p]  # of each phrase
         later = doc > first[np.cumsum(new_p) - 1]
         starts = np.flatnonzero(new_t[new_p])  # phrases of a trigger
@@ -399,13 +397,14 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (start, end, start, end, …)."""
     spark = docs.sparkSession
     n = partitions(spark)
-    buckets, homes = 4 * n, 2 * n
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets, homes = 4 * n, max(2 * n, size // HOME)
     # no alias that does nothing: the two uses of the dealt texts must look alike for Spark to shuffle them once
     doc_id = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
     text, key = F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit("")))
     # `row` tells texts with one doc_id apart
     home = F.pmod(F.xxhash64(F.coalesce(doc_id, key)), F.lit(homes)).cast("int").alias("home")
-    docs = docs.select(home, doc_id, key.bitwiseAND(F.lit(0xFFFF)).cast("int").alias("row"), text)
+    docs = docs.select(home, doc_id, key.alias("row"), text)
 
     parsed = docs.where("doc_id is not null").mapInArrow(_parse(buckets), _DEALT)
     dealt = stored(parsed.repartition(n, "to").sortWithinPartitions("kind", "to").mapInArrow(_grouped(_match), _DEALT), "parse")
@@ -420,3 +419,19 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return deduplicate(table(spark, sf_dir, "documents")).drop("removed")
+
+
+#: Every string of 50 bytes by document, the smallest document of each, and the runs of what they cover.
+ORACLE = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, p, array_slice(b, p + 1, p + 50) AS s FROM (SELECT doc_id, b, unnest(range(octet_length(b) - 49)) AS p FROM d) t),
+hit AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY s) AS first FROM w) t WHERE doc_id > first),
+part AS (SELECT doc_id, p, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (SELECT doc_id, p, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 1 ELSE 0 END AS opens FROM hit) t),
+span AS (SELECT doc_id, min(p) AS lo, max(p) + 50 AS hi FROM part GROUP BY doc_id, run),
+total AS (SELECT doc_id, sum(hi - lo) AS gone, count(*) AS spans FROM span GROUP BY doc_id),
+piece AS (SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS lo, lo AS hi FROM span
+  UNION ALL SELECT d.doc_id, coalesce(max(hi), 0), any_value(octet_length(b)) FROM d LEFT JOIN span ON d.doc_id = span.doc_id GROUP BY d.doc_id),
+kept AS (SELECT piece.doc_id, string_agg(CASE WHEN piece.hi > piece.lo THEN hex(array_slice(b, piece.lo + 1, piece.hi)) ELSE '' END, '' ORDER BY piece.lo, piece.hi) AS h FROM piece JOIN d ON piece.doc_id = d.doc_id GROUP BY piece.doc_id)
+SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(h)) AS kept_sha256
+FROM d JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN total ON d.doc_id = total.doc_id
+"""

@@ -20,6 +20,28 @@ def test_stages(spark, sf_dir, tmp_path):
     assert seen["mixing"].count() >= seen["pii"].count()
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, ties, columns with clashing names, and an empty table."""
+    long = " ".join(f"w{i % 701}x{i % 1301}" for i in range(40_000))
+    some = "a text of its own with words that differ one from another and more than fifty of them so that the base rule keeps it " * 1 + " ".join(f"n{i}" for i in range(60))
+    rows = [(1, ""), (2, None), (None, some + " null id"), (3, long), (4, some), (4, some), (5, some + " tail"), (5, "other " + long[:9000]), (6, " \n\t"), (7, long), (None, None)]
+    odd = spark.createDataFrame([(i, t, "en", "s", 1, "k", 2, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _pii_kinds string, _similar_key long, _mixing_key string")
+    sf = "/root/testdata/sf0.001"
+    for start in (odd, odd.limit(0)):
+        docs, names = start, start.columns
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            path = str(tmp_path / f"{name}{start is odd}")
+            stage(spark, docs, sf).write.parquet(path)
+            docs = spark.read.parquet(path)
+            if name != "packing":
+                assert docs.columns == names, name
+            if start is odd and k == 0:
+                assert {r.doc_id for r in docs.collect()} <= {None, 3, 4, 5, 7}
+            if start is odd and k == 1:
+                assert len({(r.doc_id, r.text) for r in docs.collect()}) == docs.count()
+        assert (docs.count() > 0) == (start is odd)
+
+
 def test_registered():
     import __spark_entry__
 
