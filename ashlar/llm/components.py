@@ -10,11 +10,23 @@ from ashlar.sources import fs
 from .common import shared_folder
 
 
+#: Spark's setting to delete an execution's shuffle files at its end.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read again: lineage ends here, and a lost executor loses nothing."""
+    """Written to the shared folder and read again: lineage ends here, and a lost executor loses nothing.
+
+    The shuffle files behind it go at once rather than when the driver next collects its garbage.
+    """
     spark: SparkSession = df.sparkSession
     path = shared_folder(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

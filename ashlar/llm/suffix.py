@@ -13,7 +13,7 @@ Removed is each byte covered by a string of ``WIDTH`` bytes that also starts in
    with WIDTH bytes in common are the windows that phrases share.
 4. The removed ranges return to their documents.
 
-A phrase is known by its trigger and 128 bits of hash, so that no two of any corpus are taken for one another.  Since a
+A phrase is known by its trigger and 96 bits of hash, so that no two of any corpus are taken for one another.  Since a
 phrase carries the bytes that follow it, the order of the dictionary's suffixes is the corpus order as far as
 WIDTH bytes tell, and the parse is grouped rather than sorted.
 
@@ -44,7 +44,7 @@ SPAN, GATHER = 1 << 20, 1 << 20
 HOME = 64 << 20
 _PHRASES, _RANGES, _WANTED = 0, 1, 2
 _DEALT = "to int, kind int, blob binary"
-_U8, _DOC, _ROW, _AT = "<u8", "<i8", "<i8", "<u4"
+_U8, _U4, _DOC, _ROW, _AT = "<u8", "<u4", "<i8", "<u4", "<u4"
 
 
 def pack(*columns: tuple[str, np.ndarray]) -> bytes:
@@ -69,7 +69,7 @@ def phrases(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     n = len(data) - WIDTH + 1
     if n <= 0:
         z = np.zeros(0, np.int64)
-        return z.astype(np.uint64), z.astype(np.uint64), z.astype(np.uint64), z, z, z
+        return z.astype(np.uint64), z.astype(np.uint64), z.astype(np.uint32), z, z, z
     hashed = RangeHash(data)
     low = hashed.rolling(GRAM)
     span, want = 1, WIDTH - GRAM + 1
@@ -91,7 +91,7 @@ def phrases(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     last = ok.copy()
     last[:-1] &= ~ok[1:] | first[1:]
     p, q = np.flatnonzero(first), np.flatnonzero(last)
-    return low[p], hashed(p, q + WIDTH), RangeHash(data, OTHER)(p, q + WIDTH), np.searchsorted(off, p, "right") - 1, p, q - p + 1
+    return low[p], hashed(p, q + WIDTH), (RangeHash(data, OTHER)(p, q + WIDTH) >> np.uint64(32)).astype(np.uint32), np.searchsorted(off, p, "right") - 1, p, q - p + 1
 
 
 def _spans(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
@@ -160,7 +160,7 @@ def _parse(buckets: int):
         keep = ~later
         trigger, phrase, other, doc, row, home, at, n = (x[keep] for x in (trigger, phrase, other, doc, row, home, at, n))
         for k, i in _by(bucket_of(trigger, buckets), buckets):
-            made.append((k, _PHRASES, pack((_U8, trigger[i]), (_U8, phrase[i]), (_U8, other[i]), (_DOC, doc[i]), (_ROW, row[i]), (_AT, home[i]), (_AT, at[i]), (_AT, n[i]))))
+            made.append((k, _PHRASES, pack((_U8, trigger[i]), (_U8, phrase[i]), (_U4, other[i]), (_DOC, doc[i]), (_ROW, row[i]), (_AT, home[i]), (_AT, at[i]), (_AT, n[i]))))
         return _rows(made)
 
     return run
@@ -251,7 +251,7 @@ def _dealt(found: list[tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]]) -
 
 def _match(blobs: list[bytes]) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
     """Of one bucket: ranges of phrases seen before, and the phrases whose bytes are wanted."""
-    trigger, phrase, other, doc, row, home, at, n = (np.concatenate(x) for x in zip(*(unpack(b, _U8, _U8, _U8, _DOC, _ROW, _AT, _AT, _AT) for b in blobs), strict=True))
+    trigger, phrase, other, doc, row, home, at, n = (np.concatenate(x) for x in zip(*(unpack(b, _U8, _U8, _U4, _DOC, _ROW, _AT, _AT, _AT) for b in blobs), strict=True))
     o = np.argsort(trigger)
     t = trigger[o]
     same = t[1:] == t[:-1]
@@ -404,7 +404,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     text, key = F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit("")))
     # `row` tells texts with one doc_id apart
     home = F.pmod(F.xxhash64(F.coalesce(doc_id, key)), F.lit(homes)).cast("int").alias("home")
-    docs = docs.select(home, doc_id, key.alias("row"), text)
+    docs = docs.select(home, doc_id, key.bitwiseAND(F.lit(0xFFFFFFFF)).alias("row"), text)
 
     parsed = docs.where("doc_id is not null").mapInArrow(_parse(buckets), _DEALT)
     dealt = stored(parsed.repartition(n, "to").sortWithinPartitions("kind", "to").mapInArrow(_grouped(_match), _DEALT), "parse")
