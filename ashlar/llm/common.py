@@ -13,7 +13,7 @@ from ashlar.sources import fs
 
 #: Bytes of one Arrow batch between the JVM and Python, unless the session says otherwise: batches of long texts have few rows.
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -69,12 +69,12 @@ def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def groups_of(off: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """Runs of documents of about ``limit`` bytes, one document at least."""
+def groups_of(off: np.ndarray, limit: int, rows: int = 1 << 20) -> list[tuple[int, int]]:
+    """Runs of documents of about ``limit`` bytes and at most so many rows, one document at least."""
     out, a = [], 0
     while a < len(off) - 1:
         b = int(np.searchsorted(off, off[a] + limit, "right")) - 1
-        b = max(b, a + 1)
+        b = min(max(b, a + 1), a + rows)
         out.append((a, b))
         a = b
     return out

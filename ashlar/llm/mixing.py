@@ -84,7 +84,7 @@ class Posterior:
 
 def _each(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, off = as_bytes(column)
-    for lo, hi in groups_of(off, 1 << 19):
+    for lo, hi in groups_of(off, 1 << 19, 256):  # a row of counts is large, however short its text
         yield lo, hi, *frequencies(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
 
 

@@ -21,7 +21,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Cached words; the cache starts anew beyond it, so a worker's memory is bounded.
-WORDS = 1_000_000
+WORDS = 500_000
 #: How byte-level vocabularies of this family cut a text.
 CUT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
