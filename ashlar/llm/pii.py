@@ -213,10 +213,11 @@ def redrawn(docs: DataFrame, key: str) -> DataFrame:
     """(kind, canon, attempt) of the entities whose first surrogate is another entity, or another's surrogate."""
     real = stored(entities(docs), "entities")
     pending, taken, out = real.withColumn("attempt", F.lit(0)), real.select("kind", F.col("canon").alias("s")), None
-    # one large expression, made once for all rounds
-    surrogate = canonical(F.col("kind"), surrogates(F.array("e"), lambda _: F.col("attempt"), key)[0])
+    surrogate = surrogates(F.array("e"), lambda _: F.col("attempt"), key)[0]  # a large expression, made once for all rounds
     while True:
-        drawn = pending.withColumn("s", surrogate)
+        drawn = pending.select("*", surrogate.alias("raw"))
+        # once in one plan without a shuffle: its form needs it several times, and so does the join
+        drawn = stored(drawn.withColumn("s", canonical(F.col("kind"), F.col("raw"))).drop("raw"), "drawn")
         # of those that drew the same, the first keeps it, unless it is taken: an aggregate, not a sort of the group
         first = drawn.groupBy("kind", "s").agg(F.min("canon").alias("canon")).join(taken, ["kind", "s"], "left_anti").select("kind", "canon", F.lit(True).alias("ok"))
         drawn = stored(drawn.join(first, ["kind", "canon"], "left"), "surrogates")

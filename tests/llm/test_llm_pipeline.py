@@ -2,7 +2,10 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from ashlar.llm import pii
 
 
 def test_stages(spark, sf_dir, tmp_path):
@@ -42,6 +45,17 @@ def test_stages_on_odd_rows(spark, tmp_path):
         assert (docs.count() > 0) == (start is odd)
 
 
+def test_redrawn_plans_are_small(spark, monkeypatch):
+    """The driver keeps a plan and its changes, so none has the large expression of a surrogate twice."""
+    length = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    one = length(spark.createDataFrame([("a@b.com", 0)], "e string, attempt int").select(pii.surrogates(F.array("e"), lambda _: F.col("attempt"), "k")[0]))
+    plans, store = [], pii.stored
+    monkeypatch.setattr(pii, "stored", lambda df, name: (plans.append(length(df)), store(df, name))[1])
+    docs = spark.createDataFrame([(i, f"write to {c}@example.com or call +1 212 555 01{i:02}") for i, c in enumerate("abcdefghijklmnopqrst")], "doc_id long, text string")
+    again = pii.redrawn(docs, "k").collect()
+    assert again and max(plans) < 2 * one
+
+
 def test_registered():
     import __spark_entry__
 
