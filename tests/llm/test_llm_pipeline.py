@@ -2,10 +2,11 @@
 
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ashlar.llm import pii
+from ashlar.llm import pii, similar
 
 
 def test_stages(spark, sf_dir, tmp_path):
@@ -45,6 +46,39 @@ def test_stages_on_odd_rows(spark, tmp_path):
         assert (docs.count() > 0) == (start is odd)
 
 
+def test_near_dedup_discards_by_fingerprints_and_pivots(monkeypatch):
+    """In one bucket: unrelated texts go by their fingerprints alone, near ones are joined as without them, and repeats don't count."""
+    rng = np.random.default_rng(4)
+    text = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    groups = [text(n) for n in (7, 9, 40, 60, 90, 150, 300, 500)]
+    texts = [w[: len(w) - k % (len(w) // 20 + 1)] + text(k % (len(w) // 20 + 1)) + w[:6] * (k % 3) for w in groups for k in range(12)] + [text(80) for _ in range(100)]
+    made = [similar.sketch(" ".join(texts[i]).encode(), 5) for i in rng.permutation(len(texts))]
+    packed = np.array([np.frombuffer(m[1], np.uint8) for m in made])
+    value = np.stack([packed >> 4, packed & 15], 2).reshape(len(made), -1)
+    prints = np.array([np.frombuffer(m[2], np.uint64) for m in made])
+    verified, near = [], similar._near
+    monkeypatch.setattr(similar, "_near", lambda v, at, x, least: (verified.append(similar.estimate(v[at], v[x])), near(v, at, x, least))[1])
+    links = list(similar.spanning(value, 0.8, prints))
+    some = np.concatenate(verified)
+    verified.clear()
+    every = list(similar.spanning(value, 0.8))
+    assert len(links) > 60 and joined(range(len(made)), links) == joined(range(len(made)), every)
+    assert some.min() > 0.3 and 4 * len(some) < len(np.concatenate(verified))
+    line, words = " ".join(text(12)), " ".join(text(200))
+    a, b = (np.frombuffer(similar.sketch(f"{words}\n{line}{f'{chr(10)}{line}' * k}".encode(), 5)[2], np.uint64) for k in (1, 30))
+    assert (a == b).all()
+
+
+def joined(nodes, links):
+    """The groups, each as the set of its members, that links make."""
+    at = {i: {i} for i in nodes}
+    for a, b in links:
+        at[a] |= at[b]
+        for i in at[b]:
+            at[i] = at[a]
+    return at
+
+
 def test_redrawn_plans_are_small(spark, monkeypatch):
     """The driver keeps a plan and its changes, so none has the large expression of a surrogate twice."""
     length = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
