@@ -30,6 +30,9 @@ from .tokens import encoder, vocabulary
 LIMIT = 18
 BLOCK = 256
 SHARD = 1 << 17
+#: Bytes of text in a range, about, where the session's shuffle partitions allow as many ranges: each range is a file of ids
+#: and a file of shards, and Hadoop's local file system spawns three commands for a file.
+RANGE = 1 << 24
 MAGIC = b"ASHF\x01"
 
 
@@ -135,12 +138,17 @@ def _ranges(docs: DataFrame, n: int) -> list[int]:
     return sorted({int(x) for x in got})
 
 
+def _by_size(docs: DataFrame, most: int) -> int:
+    """How many ranges the texts fill, at most so many; a row counts 32 bytes besides its text."""
+    size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 32)).first()[0] or 0
+    return min(most, -(-size // RANGE))
+
+
 def write(docs: DataFrame, path: str, folder: str, end_id: int = 0) -> None:
     """Encodes every text and writes codebook and shards to the folder."""
     spark = docs.sparkSession
-    n = partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text", row_key("text").alias("key"))
-    bounds = _ranges(docs, n)
+    bounds = _ranges(docs, _by_size(docs, partitions(spark)))
 
     def tokenize(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end, z = encoder(path), np.array([end_id], "<u4").tobytes(), zstandard.ZstdCompressor(1)
@@ -164,7 +172,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 0) -> None:
                 total += c
             yield pa.record_batch({"bucket": b.column("bucket"), "start": pa.array(start, pa.int64()), "doc_id": b.column("doc_id"), "n": b.column("n"), "ids": b.column("ids")})
 
-    dealt = docs.mapInArrow(tokenize, "bucket int, doc_id long, key long, n long, ids binary").repartitionById(n, F.col("bucket"))
+    dealt = docs.mapInArrow(tokenize, "bucket int, doc_id long, key long, n long, ids binary").repartitionById(len(bounds) + 1, F.col("bucket"))
     dealt = dealt.sortWithinPartitions("bucket", F.asc_nulls_last("doc_id"), "key")
     dealt.mapInArrow(number, "bucket int, start long, doc_id long, n long, ids binary").write.parquet(f"{folder}/ids", compression="none")
     kept = spark.read.parquet(f"{folder}/ids")

@@ -175,6 +175,21 @@ def test_huffman_files(spark, docs, odd, tmp_path):
         assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in got)
 
 
+def test_huffman_ranges_by_size(spark, docs, odd, tmp_path, monkeypatch):
+    """Small tables make one file of ids and one of shards, however many shuffle partitions there are; several ranges give the same rows."""
+    for k, df in enumerate((docs, odd)):
+        rows = []
+        for size in (huffman.RANGE, 1 << 15):
+            monkeypatch.setattr(huffman, "RANGE", size)
+            folder = tmp_path / f"r{k}-{size}"
+            huffman.write(df, vocabulary("byte_bpe_50k.json"), str(folder))
+            ids, shards = len(list(folder.glob("ids/part-*"))), len(list(folder.glob("shards/bucket=*/part-*")))
+            assert (ids, shards) == (1, 1) if size > 1 << 15 else ids > 1 and shards > 1
+            rows.append(sorted(map(repr, huffman.read(spark, str(folder), with_ids=True).collect())))
+        assert rows[0] == rows[1]
+        monkeypatch.undo()
+
+
 # ---------------------------------------------------------------- 3
 
 
