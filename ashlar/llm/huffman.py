@@ -32,7 +32,7 @@ BLOCK = 256
 SHARD = 1 << 17
 #: Bytes of text in a range, about, where the session's shuffle partitions allow as many ranges: each range is a file of ids
 #: and a file of shards, and Hadoop's local file system spawns three commands for a file.
-RANGE = 1 << 24
+RANGE = 1 << 23
 MAGIC = b"ASHF\x01"
 
 
