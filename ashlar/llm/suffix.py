@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +39,17 @@ from .components import stored
 
 WIDTH, GRAM = 50, 16
 #: Bytes parsed at a time, and phrases gathered before they are dealt.
-SPAN, GATHER = 1 << 20, 1 << 20
+SPAN, GATHER = 1 << 19, 1 << 19
+#: Phrases or ranges of a blob, and bytes of an Arrow batch given to the JVM (a batch has one blob at least): it copies a
+#: blob into arrays of up to twice its size, and its heap grows in jumps where many arrays are of half a megabyte or more.
+PIECE, BATCHED = 1 << 12, 1 << 20
+#: Rows of a table that the JVM decodes at a time, unless the session says otherwise: each may be a long text.
+DECODED, DECODED_ROWS = "spark.sql.parquet.columnarReaderBatchSize", 256
 #: Bytes of text that a home holds, by the corpus's size; there are at least two homes a shuffle partition.
 HOME = 64 << 20
 _PHRASES, _RANGES, _WANTED = 0, 1, 2
 _DEALT = "to int, kind int, blob binary"
+_DEALT_ARROW = pa.schema([("to", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 _U8, _U4, _DOC, _ROW, _AT = "<u8", "<u4", "<i8", "<u4", "<u4"
 
 
@@ -122,17 +128,30 @@ def _merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
 
 
 def _by(to: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Rows for each destination, in their order."""
+    """Rows for each destination, in their order, PIECE at a time."""
     o = np.argsort(to, kind="stable")
     cut = np.searchsorted(to[o], np.arange(n + 1))
     for k in range(n):
-        if cut[k] < cut[k + 1]:
-            yield k, o[cut[k] : cut[k + 1]]
+        for a in range(cut[k], cut[k + 1], PIECE):
+            yield k, o[a : min(a + PIECE, cut[k + 1])]
 
 
-def _rows(made: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    to, kind, blob = zip(*made, strict=True) if made else ((), (), ())
-    return pa.record_batch({"to": pa.array(to, pa.int32()), "kind": pa.array(kind, pa.int32()), "blob": pa.array(blob, pa.binary())})
+def _rows(made: Iterable[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Batches of about BATCHED bytes."""
+    part, held = [], 0
+    for x in made:
+        if part and held + len(x[2]) > BATCHED:
+            yield _batch(part)
+            part, held = [], 0
+        part.append(x)
+        held += len(x[2])
+    if part:
+        yield _batch(part)
+
+
+def _batch(made: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    to, kind, blob = zip(*made, strict=True)
+    return pa.record_batch([pa.array(to, pa.int32()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], schema=_DEALT_ARROW)
 
 
 def _parse(buckets: int):
@@ -146,22 +165,21 @@ def _parse(buckets: int):
                 parts.append((trigger, phrase, other, ids[first + at], rows[first + at], homes[first + at], p - off[at] + before, n))
                 held += len(p)
             if held >= GATHER:
-                yield deal(parts)
+                yield from _rows(deal(parts))
                 parts, held = [], 0
         if parts:
-            yield deal(parts)
+            yield from _rows(deal(parts))
 
-    def deal(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    def deal(parts: list[tuple[np.ndarray, ...]]) -> Iterator[tuple[int, int, bytes]]:
         trigger, phrase, other, doc, row, home, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
         later = _later(trigger, phrase, other, doc)
-        made = []
         if later.any():
-            made += _range_rows(doc[later], row[later], home[later], at[later], at[later] + n[later] + WIDTH - 1)
+            yield from _range_rows(doc[later], row[later], home[later], at[later], at[later] + n[later] + WIDTH - 1)
         keep = ~later
         trigger, phrase, other, doc, row, home, at, n = (x[keep] for x in (trigger, phrase, other, doc, row, home, at, n))
         for k, i in _by(bucket_of(trigger, buckets), buckets):
-            made.append((k, _PHRASES, pack((_U8, trigger[i]), (_U8, phrase[i]), (_U4, other[i]), (_DOC, doc[i]), (_ROW, row[i]), (_AT, home[i]), (_AT, at[i]), (_AT, n[i]))))
-        return _rows(made)
+            yield k, _PHRASES, pack((_U8, trigger[i]), (_U8, phrase[i]), (_U4, other[i]), (_DOC, doc[i]), (_ROW, row[i]), (_AT, home[i]), (_AT, at[i]), (_AT, n[i]))
 
     return run
 
@@ -223,21 +241,20 @@ def _grouped(work):
                     held += sum(len(x[0]) for x in found[-1])
                     blobs = []
                     if held > GATHER:
-                        yield _dealt(found)
+                        yield from _rows(_dealt(found))
                         found, held = [], 0
                 at = to
                 blobs.append(blob)
-            if passed:
-                yield _rows(passed)
+            yield from _rows(passed)
         if blobs:
             found.append(work(blobs))
         if found:
-            yield _dealt(found)
+            yield from _rows(_dealt(found))
 
     return run
 
 
-def _dealt(found: list[tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]]) -> pa.RecordBatch:
+def _dealt(found: list[tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]]) -> list[tuple[int, int, bytes]]:
     """Rows of gathered (doc, row, home, start, end) and (home, trigger, doc, row, at, n)."""
     ranges, wanted = ([np.concatenate(c) for c in zip(*x, strict=True)] for x in zip(*found, strict=True))
     made = _range_rows(*ranges) if len(ranges[0]) else []
@@ -246,7 +263,7 @@ def _dealt(found: list[tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]]) -
         places, where = np.unique(home, return_inverse=True)
         for k, i in _by(where, len(places)):
             made.append((int(places[k]), _WANTED, pack((_U8, trigger[i]), (_DOC, doc[i]), (_ROW, row[i]), (_AT, at[i]), (_AT, n[i]))))
-    return _rows(made)
+    return made
 
 
 def _match(blobs: list[bytes]) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
@@ -301,7 +318,7 @@ def _fetch(buckets: int):
                 raw = texts.data[_flat(start[i], size[i])].tobytes()
                 rows = pack((_DOC, doc[i]), (_ROW, row[i]), (_AT, np.full(len(i), home)), (_AT, at[i]), (_AT, n[i]))
                 made.append((k, _PHRASES, struct.pack("<I", len(rows)) + rows + zstandard.ZstdCompressor(1).compress(raw)))
-        return pa.Table.from_batches([_rows(made)])
+        return pa.Table.from_batches(_rows(made), _DEALT_ARROW)
 
     return run
 
@@ -317,26 +334,36 @@ def suffix_ranks(data: np.ndarray, off: np.ndarray, at: np.ndarray) -> np.ndarra
 
     ``at``: positions of which WIDTH bytes lie in one text.  Others end early and get ranks of no use.
     """
-    wide = np.concatenate([data, np.zeros(WIDTH + 8, np.uint8)]).astype(np.uint64)
-    key = np.zeros(len(data), np.uint64)
+    n = len(data)
+    wide = np.concatenate([data, np.zeros(7, np.uint8)])
+    key = np.zeros(n, np.uint64)
     for j in range(8):
-        key = key << np.uint64(8) | wide[j : j + len(data)]
+        key <<= np.uint64(8)
+        key |= wide[j : j + n]
     rank, depth = _dense(key), 8
     while depth < WIDTH:
         step = min(depth, WIDTH - depth)
-        after = np.concatenate([rank[step:], np.zeros(step, np.int64)])
-        if depth + step == WIDTH:
-            return _dense(rank[at] * (int(rank.max()) + 1) + after[at])
-        rank = _dense(rank * (int(rank.max()) + 1) + after)
+        last = depth + step == WIDTH
+        key = rank[at].astype(np.int64) if last else rank.astype(np.int64)
+        key *= int(rank.max()) + 1
+        after = np.concatenate([rank[step:], np.zeros(step, rank.dtype)])
+        key += after[at] if last else after
+        del rank, after
+        rank = _dense(key)
         depth += step
-    return rank[at]
+    return rank
 
 
 def _dense(key: np.ndarray) -> np.ndarray:
+    """The number of each value among the distinct ones in order."""
+    kind = np.int32 if len(key) < 1 << 31 else np.int64
     o = np.argsort(key)
-    k = key[o]
-    out = np.empty(len(key), np.int64)
-    out[o] = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]])) if len(k) else 0
+    new = np.zeros(len(key), bool)
+    ordered = key[o]
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    del ordered
+    out = np.empty(len(key), kind)
+    out[o] = np.cumsum(new, dtype=kind)
     return out
 
 
@@ -349,14 +376,16 @@ def _windows(blobs: list[bytes]) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarr
         raw.append(zstandard.ZstdDecompressor().decompress(b[4 + size :]))
     doc, row, home, at, n = (np.concatenate(x) for x in zip(*cols, strict=True))
     data = np.frombuffer(b"".join(raw), np.uint8)
+    del raw, cols
     size = n.astype(np.int64) + WIDTH - 1
     off = np.concatenate([[0], np.cumsum(size)])
-    whose = np.repeat(np.arange(len(n)), n)
     p = _flat(off[:-1], n.astype(np.int64))
     rank = suffix_ranks(data, off, p)
+    whose = np.repeat(np.arange(len(n)), n)
+    docs = doc[whose]
     first = np.full(int(rank.max()) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(first, rank, doc[whose])
-    hit = doc[whose] > first[rank]
+    np.minimum.at(first, rank, docs)
+    hit = docs > first[rank]
     i = whose[hit]
     s = at[i].astype(np.int64) + p[hit] - off[i]
     r, s, e = _merged(i, s, s + WIDTH)
@@ -396,6 +425,8 @@ def _finish(docs: pa.Table, dealt: pa.Table) -> pa.Table:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (start, end, start, end, …)."""
     spark = docs.sparkSession
+    if spark.conf.get(DECODED, None) in (None, "", "4096"):
+        spark.conf.set(DECODED, str(DECODED_ROWS))
     n = partitions(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, homes = 4 * n, max(2 * n, size // HOME)

@@ -3,10 +3,12 @@
 import hashlib
 import re
 import signal
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -95,6 +97,28 @@ def test_suffix_ranks_are_the_order():
     assert [order[s] for s in cut] == np.unique(rank, return_inverse=True)[1].tolist()
 
 
+def test_suffix_blobs_and_batches_are_bounded():
+    """Few buckets don't make large blobs: the JVM holds several copies of each."""
+    text = np.random.default_rng(2).integers(97, 123, 3_000_000).astype(np.uint8).tobytes().decode()
+    rows = pa.record_batch({"home": pa.array([0], pa.int32()), "doc_id": pa.array([1]), "row": pa.array([0]), "text": pa.array([text])})
+    made = list(suffix._parse(1)(iter([rows])))
+    blobs = [x for b in made for x in b.column("blob").to_pylist()]
+    assert max(map(len, blobs)) < 1 << 18 and max(b.nbytes for b in made) < 1 << 21
+    at, n = (np.concatenate(x) for x in zip(*(suffix.unpack(b, "<u8", "<u8", "<u4", "<i8", "<u4", "<u4", "<u4", "<u4")[6:] for b in blobs), strict=True))
+    o = np.argsort(at)
+    assert at[o][0] == 0 and (at + n)[o][-1] == len(text) - 49 and ((at + n)[o][:-1] == at[o][1:]).all()
+
+
+def test_suffix_ranks_in_little_memory():
+    data = np.random.default_rng(3).integers(97, 99, 1 << 18).astype(np.uint8)
+    at = np.arange(len(data) - 49)
+    tracemalloc.start()
+    suffix.suffix_ranks(data, np.array([0, len(data)]), at)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * len(data)
+
+
 # ---------------------------------------------------------------- 2 and 5
 
 
