@@ -39,7 +39,7 @@ from .components import stored
 
 WIDTH, GRAM = 50, 16
 #: Bytes parsed at a time, and phrases gathered before they are dealt.
-SPAN, GATHER = 1 << 19, 1 << 19
+SPAN, GATHER = 1 << 18, 1 << 19
 #: Phrases or ranges of a blob, and bytes of an Arrow batch given to the JVM (a batch has one blob at least): it copies a
 #: blob into arrays of up to twice its size, and its heap grows in jumps where many arrays are of half a megabyte or more.
 PIECE, BATCHED = 1 << 12, 1 << 20
@@ -47,6 +47,8 @@ PIECE, BATCHED = 1 << 12, 1 << 20
 DECODED, DECODED_ROWS = "spark.sql.parquet.columnarReaderBatchSize", 256
 #: Bytes of text that a home holds, by the corpus's size; there are at least two homes a shuffle partition.
 HOME = 64 << 20
+#: Bytes of text behind a task, and so a file, where the matched parse of a small table is stored; there is at least one task a core.
+STORED = 8 << 20
 _PHRASES, _RANGES, _WANTED = 0, 1, 2
 _DEALT = "to int, kind int, blob binary"
 _DEALT_ARROW = pa.schema([("to", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
@@ -438,13 +440,16 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     docs = docs.select(home, doc_id, key.bitwiseAND(F.lit(0xFFFFFFFF)).alias("row"), text)
 
     parsed = docs.where("doc_id is not null").mapInArrow(_parse(buckets), _DEALT)
-    dealt = stored(parsed.repartition(n, "to").sortWithinPartitions("kind", "to").mapInArrow(_grouped(_match), _DEALT), "parse")
+    matched = parsed.repartition(n, "to").sortWithinPartitions("kind", "to").mapInArrow(_grouped(_match), _DEALT)
+    files = max(spark.sparkContext.defaultParallelism, size // STORED + 1)
+    dealt = stored(matched.coalesce(min(n, files)), "parse")
 
     at_home = docs.groupBy("home")
     wanted = at_home.cogroup(dealt.where(F.col("kind") == _WANTED).withColumn("home", F.col("to")).groupBy("home")).applyInArrow(_fetch(buckets), _DEALT)
     ends = wanted.repartition(n, "to").sortWithinPartitions("kind", "to").mapInArrow(_grouped(_windows), _DEALT)
     ranges = dealt.where(F.col("kind") == _RANGES).unionByName(ends).withColumn("home", F.col("to"))
-    return at_home.cogroup(ranges.groupBy("home")).applyInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<long>")
+    done = at_home.cogroup(ranges.groupBy("home")).applyInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<long>")
+    return done.repartition(min(n, size // HOME + 1))  # small beside the texts: not a file for each home's partition
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

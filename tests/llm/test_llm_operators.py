@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ashlar.llm import gbt, huffman, lz, mixing, packing, pii, quality, similar, simhash, suffix, toxicity, warc
 from ashlar.llm.common import prepare
-from ashlar.llm.components import components
+from ashlar.llm.components import components, stored
 from ashlar.llm.tokens import encoder, vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -109,6 +109,25 @@ def test_suffix_blobs_and_batches_are_bounded():
     assert at[o][0] == 0 and (at + n)[o][-1] == len(text) - 49 and ((at + n)[o][:-1] == at[o][1:]).all()
 
 
+def test_suffix_small_tables_make_few_files(spark, tmp_path, monkeypatch):
+    """Not one for each shuffle partition: Hadoop's local file system runs commands for each file."""
+    kept, confs = [], {"spark.sql.shuffle.partitions": "30", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    monkeypatch.setattr(suffix, "stored", lambda df, name: kept.append(stored(df, name)) or kept[-1])
+    before = {k: spark.conf.get(k) for k in confs}
+    rng = np.random.default_rng(4)
+    rows = [(i, "shared by all of them, and longer than fifty bytes: " * (i % 3) + rng.bytes(150).hex()) for i in range(90)]
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        suffix.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).write.parquet(f"{tmp_path}/out")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted((tuple(r)[:5] for r in out.collect()), key=repr) == removed_by_force(rows)
+    assert len(out.inputFiles()) == 1 and len(kept[0].inputFiles()) <= max(1, spark.sparkContext.defaultParallelism)
+
+
 def test_suffix_ranks_in_little_memory():
     data = np.random.default_rng(3).integers(97, 99, 1 << 18).astype(np.uint8)
     at = np.arange(len(data) - 49)
