@@ -14,6 +14,9 @@ from ashlar.sources import fs
 #: Bytes of one Arrow batch between the JVM and Python, unless the session says otherwise: batches of long texts have few rows.
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 1 << 20
+#: Rows of a table that the JVM decodes at a time, unless the session says otherwise: each may be a long text, and a JVM's
+#: heap grows in jumps where many arrays are of half a megabyte or more.
+DECODED, DECODED_ROWS = "spark.sql.parquet.columnarReaderBatchSize", 256
 
 
 def prepare(spark: SparkSession) -> None:
@@ -24,6 +27,12 @@ def prepare(spark: SparkSession) -> None:
     fs.shared_top(spark)
 
 
+def decode_few(spark: SparkSession) -> None:
+    """``DECODED_ROWS`` where the session has Spark's default."""
+    if spark.conf.get(DECODED, None) in (None, "", "4096"):
+        spark.conf.set(DECODED, str(DECODED_ROWS))
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share."""
     prepare(spark)

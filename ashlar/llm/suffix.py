@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import OTHER, RangeHash, as_bytes, groups_of, partitions, prepare, table
+from .common import OTHER, RangeHash, as_bytes, decode_few, groups_of, partitions, prepare, table
 from .components import stored
 
 WIDTH, GRAM = 50, 16
@@ -43,8 +43,6 @@ SPAN, GATHER = 1 << 18, 1 << 19
 #: Phrases or ranges of a blob, and bytes of an Arrow batch given to the JVM (a batch has one blob at least): it copies a
 #: blob into arrays of up to twice its size, and its heap grows in jumps where many arrays are of half a megabyte or more.
 PIECE, BATCHED = 1 << 12, 1 << 20
-#: Rows of a table that the JVM decodes at a time, unless the session says otherwise: each may be a long text.
-DECODED, DECODED_ROWS = "spark.sql.parquet.columnarReaderBatchSize", 256
 #: Bytes of text that a home holds, by the corpus's size; there are at least two homes a shuffle partition.
 HOME = 64 << 20
 #: Bytes of text behind a task, and so a file, where the matched parse of a small table is stored; there is at least one task a core.
@@ -427,8 +425,7 @@ def _finish(docs: pa.Table, dealt: pa.Table) -> pa.Table:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (start, end, start, end, …)."""
     spark = docs.sparkSession
-    if spark.conf.get(DECODED, None) in (None, "", "4096"):
-        spark.conf.set(DECODED, str(DECODED_ROWS))
+    decode_few(spark)
     n = partitions(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, homes = 4 * n, max(2 * n, size // HOME)

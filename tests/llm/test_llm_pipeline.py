@@ -90,6 +90,20 @@ def test_redrawn_plans_are_small(spark, monkeypatch):
     assert again and max(plans) < 2 * one
 
 
+def test_stages_decode_few_rows(spark, sf_dir):
+    """Each stage has the JVM decode few rows of a table at a time, unless the session says how many."""
+    docs, setting = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0), "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(setting)
+    try:
+        for start, then, stages in (("4096", "256", corpus_pipeline.STAGES), ("1000", "1000", corpus_pipeline.STAGES[:1])):
+            for name, stage in stages:
+                spark.conf.set(setting, start)
+                stage(spark, docs, sf_dir)
+                assert spark.conf.get(setting) == then, name
+    finally:
+        spark.conf.set(setting, before)
+
+
 def test_registered():
     import __spark_entry__
 
