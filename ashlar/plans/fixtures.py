@@ -10,6 +10,8 @@ import json
 import struct
 from decimal import Decimal
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,6 +110,22 @@ def encoded_files(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     return out
 
 
+def one_row_group(spark: SparkSession, sf_dir: str) -> str:
+    """orders as one file of one row group, however many files and row groups the table has.
+
+    The task that writes it holds the row group, encoded and compressed, until its end.
+    """
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    path = f"{fs.shared_folder(spark, 'summary')}/orders.parquet"
+    if orders.isEmpty():  # of no rows Spark makes no row group, Arrow one
+        out = pa.BufferOutputStream()
+        pq.write_table(orders.toArrow(), out)
+        fs.write(spark, path, out.getvalue().to_pybytes())
+    else:
+        _file(orders, path, **{"parquet.block.size": str(1 << 32)})
+    return path
+
+
 _KV = {"type": "record", "name": "kv", "fields": [{"name": "key", "type": "int"}, {"name": "value", "type": "bytes"}]}
 _BOUNDS = ["null", {"type": "array", "items": _KV}]
 _DATA_FILE = {"type": "record", "name": "data_file", "fields": [{"name": "content", "type": "int"}, {"name": "file_path", "type": "string"}, {"name": "file_format", "type": "string"}, {"name": "record_count", "type": "long"}, {"name": "file_size_in_bytes", "type": "long"}, {"name": "lower_bounds", "type": _BOUNDS}, {"name": "upper_bounds", "type": ["null", {"type": "array", "items": "kv"}]}]}

@@ -5,10 +5,12 @@ import json
 import struct
 import zlib
 
+import pyarrow.parquet as pq
 import pytest
 
 from ashlar.__main__ import execute
 from ashlar.errors import FormatError, SourceError, UnsupportedError
+from ashlar.plans.source_catalog import QUERIES
 from ashlar.session import Engine
 from ashlar.sources import avro, iceberg, resolve
 
@@ -198,3 +200,26 @@ def test_session_and_shell(spark, sf_dir):
     assert execute(e, "exit") is None and execute(e, "SELEC").startswith("error")
     with pytest.raises(SourceError):
         e.connect("/no/such/place")
+
+
+@pytest.mark.parametrize("layout", ["row groups", "folder", "no rows"])
+def test_summary_whatever_the_layout(spark, sf_dir, tmp_path, layout):
+    """info() counts the row groups that a file has; the registered query is over a file of one, for any layout of orders."""
+    orders, path = pq.read_table(f"{sf_dir}/orders.parquet"), tmp_path / "orders.parquet"
+    if layout == "folder":
+        path.mkdir()
+        pq.write_table(orders[:700], path / "part-0.parquet")
+        pq.write_table(orders[700:], path / "part-1.parquet", row_group_size=300)
+    else:
+        orders = orders[:0] if layout == "no rows" else orders
+        pq.write_table(orders, path, row_group_size=400)
+    if layout == "row groups":
+        e = Engine(spark)
+        e.connect(str(path))
+        assert e.info()["row_groups"] == 4
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("parquet.block.size", "2048")  # Spark's writer would cut these rows too
+    try:
+        assert [tuple(r) for r in QUERIES["parquet_info_summary"](spark, str(tmp_path)).collect()] == [("parquet", "orders", 6, orders.num_rows, 1)]
+    finally:
+        conf.unset("parquet.block.size")
